@@ -140,3 +140,44 @@ def pipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("seq"),
         text.alias("text"),
     )
+
+
+def thread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as ``time [thread] LEVEL - message`` lines; returned items have lost the brackets."""
+    at = ntz_to_ms(F.col("l_shipdate")) + F.pmod(F.col("l_orderkey"), F.lit(DAY_MS))
+    li = table(spark, sf_dir, "lineitem").withColumn("_at", at)
+    thread = F.concat(F.lit("worker-"), F.pmod(F.col("l_suppkey"), F.lit(8)).cast("string"))
+    level = F.when(F.col("l_returnflag") == "A", "ERROR").otherwise("INFO")
+    text = F.concat(
+        ms_text(F.col("_at")), F.lit(" "),
+        F.when(F.col("l_returnflag") == "R", thread).otherwise(F.concat(F.lit("["), thread, F.lit("]"))),
+        F.lit(" "), level, F.lit(" - part "), F.col("l_partkey").cast("string"),
+        F.lit(" qty "), F.col("l_quantity").cast("decimal(12,2)").cast("string"),
+    )
+    return li.select(
+        F.lit("/logs/workers.log").alias("file_path"),
+        F.floor(F.col("l_orderkey") / BLOCK_SEQ).alias("block"),
+        (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("seq"),
+        text.alias("text"),
+    )
+
+
+def stamp_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps of ``events`` written in every accepted form and in some refused ones."""
+    events = table(spark, sf_dir, "events").withColumn("_ms", ntz_to_ms(F.col("ts"))).withColumn(
+        "_t", ms_text(F.col("_ms"), ""))
+    t, form = F.col("_t"), F.pmod(F.col("event_id"), F.lit(10))
+    year, month, day, clock = F.left(t, F.lit(4)), F.substring(t, 6, 2), F.substring(t, 9, 2), F.substring(t, 12, 8)
+    text = (
+        F.when(form == 0, t)
+        .when(form == 1, F.concat(F.lit("x "), F.replace(t, F.lit(" "), F.lit("T")), F.lit(",7 WARN")))
+        .when(form == 2, F.concat(t, F.lit(".1234 INFO")))
+        .when(form == 3, F.concat(day, F.lit("/"), month, F.lit("/"), year, F.lit(" "), clock, F.lit(" Error")))
+        .when(form == 4, F.concat(month, F.lit("/"), day, F.lit("/"), year, F.lit(" "), clock))
+        .when(form == 5, F.concat(day, F.lit("."), month, F.lit("."), year, F.lit(" "), clock, F.lit(" INFOS debug")))
+        .when(form == 6, F.concat(year, F.lit("-02-30 "), clock, F.lit(" then "), t))
+        .when(form == 7, F.concat(F.lit("at "), day, F.lit("/"), month, F.lit("/"), year, F.lit(" "), clock))
+        .when(form == 8, F.concat(t, F.lit(".99999999999 fatal_error FATAL")))
+        .otherwise(F.concat(F.lit("9"), t, F.lit(". dot")))
+    )
+    return events.select("event_id", text.alias("text"))
