@@ -55,7 +55,7 @@ def coverage(spark: S, sf_dir: str) -> DataFrame:
 
 @query("X6_infer_schema", sql("""SELECT count(*) FILTER (WHERE is_primary) AS "full", CAST(0 AS BIGINT) AS partial,
   count(*) FILTER (WHERE NOT is_primary) AS "none", CAST(0 AS BIGINT) AS blank,
-  'Timestamp,Level,Thread,Source,Message' AS names FROM lines"""))
+  'Timestamp,Level,Thread,Source,Number,Message' AS names FROM lines"""))
 def infer(spark: S, sf_dir: str) -> DataFrame:
     log = events(spark, sf_dir)
     schema, _ = extract.infer_schema(log.where("is_primary"))
@@ -71,11 +71,10 @@ def grok(spark: S, sf_dir: str) -> DataFrame:
     return _spread(found.where(complete), ["seq"], time="time", thread="thread", lv="level", message="msg")
 
 
-@query("X8_log4j", sql("SELECT seq, stamp AS ts_text, thread, lv, msg AS message FROM thr WHERE l_returnflag <> 'R'", THREAD_ROWS))
+@query("X8_log4j", sql("SELECT seq, stamp AS ts_text, thread, lv, msg AS message FROM thr", THREAD_ROWS))
 def log4j(spark: S, sf_dir: str) -> DataFrame:
     found = extract.extract_log4j(views.thread_lines(spark, sf_dir), "%d{ISO8601} [%t] %-5p - %m%n")
-    complete = F.col("fields.Thread").isNotNull()
-    return _spread(found.where(complete), ["seq"], ts_text="Timestamp", thread="Thread", lv="Level", message="Message")
+    return _spread(found, ["seq"], ts_text="Timestamp", thread="Thread", lv="Level", message="Message")
 
 
 @query("X9_preset_pipe", """SELECT l_orderkey * 64 + l_linenumber AS seq, CAST(l_orderkey AS VARCHAR) AS a, l_returnflag AS b, l_linestatus AS c,

@@ -124,7 +124,7 @@ swapped AS (SELECT *, CASE WHEN CAST(d AS INTEGER) <= 12 THEN epoch_ms(TRY_CAST(
 @query("L1_timestamps", sql("""SELECT event_id, CASE k WHEN 0 THEN ms WHEN 1 THEN ms + 7 WHEN 3 THEN ms WHEN 4 THEN sw
   WHEN 5 THEN ms WHEN 9 THEN ms END AS ts_ms FROM swapped""", _VARIANTS))
 def timestamps(spark: S, sf_dir: str) -> DataFrame:
-    return views.stamp_variants(spark, sf_dir).select("event_id", detect.detect_ts_ms(F.col("text")).alias("ts_ms"))
+    return detect.with_timestamp(views.stamp_variants(spark, sf_dir), out="ts_ms").select("event_id", "ts_ms")
 
 
 @query("L2_levels", sql("SELECT event_id, CASE k WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 5 THEN 2 WHEN 8 THEN 6 ELSE 0 END AS level FROM t", _VARIANTS))

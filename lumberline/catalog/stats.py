@@ -165,7 +165,7 @@ rob AS (SELECT m AS median, list_sort(list(abs(n - m)))[361] AS mad FROM bins, m
 
 def _islands_sql(name: str, value: str, threshold: str, source: str) -> str:
     return f"""
-{name}_hi AS (SELECT bin, {value} AS v, bin - row_number() OVER (ORDER BY bin) AS g FROM {source} WHERE bins.{value} > {threshold}),
+{name}_hi AS (SELECT bin, bins.{value} AS v, bin - row_number() OVER (ORDER BY bin) AS g FROM {source} WHERE bins.{value} > {threshold}),
 {name} AS (SELECT min(bin) AS first, max(bin) AS last, CAST(sum(v) AS BIGINT) AS s FROM {name}_hi GROUP BY g)"""
 
 

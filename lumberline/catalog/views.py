@@ -102,7 +102,7 @@ def markers(spark: S, sf_dir: str) -> DataFrame:
     return marks.mark_rows(events(spark, sf_dir), _PATTERNS).select(*KEY, "marker")
 
 
-@query("M2_spans", sql("""SELECT file_path, line_no, p AS pattern, CAST(list_sum(list_transform(a[1:k], x -> length(x))) + (k - 1) * w AS INTEGER) AS start,
+@query("M2_spans", sql("""SELECT file_path, line_no, p AS pattern, CAST(list_sum(list_transform(a[1:k], lambda x: length(x))) + (k - 1) * w AS INTEGER) AS start,
   CAST(w AS INTEGER) AS length FROM (
     SELECT file_path, line_no, p, w, a, unnest(range(1, len(a))) AS k FROM (
       SELECT file_path, line_no, 0 AS p, 2 AS w, string_split(text, 'er') AS a FROM lines
@@ -130,7 +130,7 @@ def row_numbers(spark: S, sf_dir: str) -> DataFrame:
 
 
 # One probe per user: the middle between the user's first and last event.
-_PROBES = "probes AS (SELECT user_id AS probe, (min(ms) + max(ms)) // 2 + 40000000 * (user_id % 40) AS at FROM hd GROUP BY user_id)"
+_PROBES = "probes AS (SELECT user_id AS probe, (min(ms) + max(ms)) // 2 + 40000000 * (user_id % 40) AS \"at\" FROM hd GROUP BY user_id)"
 
 
 def _probes(spark: S, sf_dir: str) -> DataFrame:
@@ -140,20 +140,20 @@ def _probes(spark: S, sf_dir: str) -> DataFrame:
     return span.select("probe", (F.floor((F.col("lo") + F.col("hi")) / 2) + 40_000_000 * (F.col("probe") % 40)).alias("at"))
 
 
-@query("O3_seek_time", sql("""SELECT probe, at, ts_ms, file_path, logical_id, line_no FROM (
-  SELECT p.probe, p.at, l.*, row_number() OVER (PARTITION BY p.probe ORDER BY l.row_no) AS k
-  FROM probes p JOIN placed l ON l.ts_ms >= p.at OR l.ts_ms IS NULL) WHERE k = 1""", then(EVENT_LINES, _PROBES)))
+@query("O3_seek_time", sql("""SELECT probe, "at", ts_ms, file_path, logical_id, line_no FROM (
+  SELECT p.probe, p."at", l.*, row_number() OVER (PARTITION BY p.probe ORDER BY l.row_no) AS k
+  FROM probes p JOIN placed l ON l.ts_ms >= p."at" OR l.ts_ms IS NULL) WHERE k = 1""", then(EVENT_LINES, _PROBES)))
 def seek_time(spark: S, sf_dir: str) -> DataFrame:
     return order.seek_time(events(spark, sf_dir), _probes(spark, sf_dir))
 
 
-@query("O4_seek_error", sql("""SELECT probe, at, ts_ms, file_path, logical_id, line_no FROM (
-    SELECT r.probe, r.at, l.*, row_number() OVER (PARTITION BY r.probe ORDER BY
-      CASE WHEN l.row_no = r.row THEN 0 ELSE 1 END, abs(l.ts_ms - r.at), CASE WHEN l.row_no <= r.row THEN 0 ELSE 1 END,
+@query("O4_seek_error", sql("""SELECT probe, "at", ts_ms, file_path, logical_id, line_no FROM (
+    SELECT r.probe, r."at", l.*, row_number() OVER (PARTITION BY r.probe ORDER BY
+      CASE WHEN l.row_no = r.row THEN 0 ELSE 1 END, abs(l.ts_ms - r."at"), CASE WHEN l.row_no <= r.row THEN 0 ELSE 1 END,
       CASE WHEN l.row_no <= r.row THEN -l.row_no ELSE l.row_no END) AS k
     FROM rows_by_time r JOIN placed l ON l.level >= 4 AND l.ts_ms IS NOT NULL) WHERE k = 1""",
-  then(EVENT_LINES, _PROBES, """rows_by_time AS (SELECT p.probe, p.at, min(l.row_no) AS row FROM probes p
-    JOIN placed l ON l.ts_ms >= p.at OR l.ts_ms IS NULL GROUP BY p.probe, p.at)""")))
+  then(EVENT_LINES, _PROBES, """rows_by_time AS (SELECT p.probe, p."at", min(l.row_no) AS row FROM probes p
+    JOIN placed l ON l.ts_ms >= p."at" OR l.ts_ms IS NULL GROUP BY p.probe, p."at")""")))
 def seek_error(spark: S, sf_dir: str) -> DataFrame:
     return order.seek_error(events(spark, sf_dir), _probes(spark, sf_dir))
 

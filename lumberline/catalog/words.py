@@ -41,7 +41,7 @@ def duration(spark: S, sf_dir: str) -> DataFrame:
 
 
 @query("N4_range", sql("""SELECT event_id, strftime(make_timestamp(ms * 1000), '%H:%M:%S') || ' – ' ||
-  strftime(make_timestamp(e * 1000), CASE WHEN ms // 86400000 = e // 86400000 THEN '%H:%M:%S' ELSE '%d.%m %H:%M:%S' END) AS shown
+  CASE WHEN ms // 86400000 = e // 86400000 THEN strftime(make_timestamp(e * 1000), '%H:%M:%S') ELSE strftime(make_timestamp(e * 1000), '%d.%m %H:%M:%S') END AS shown
   FROM (SELECT event_id, ms, ms + user_id * 600000 AS e FROM hd)""", EVENT_ROWS))
 def range_text(spark: S, sf_dir: str) -> DataFrame:
     rows = views.with_busy_hours(views.table(spark, sf_dir, "events"))

@@ -43,64 +43,68 @@ def _int(text: Column, pos: int, length: int) -> Column:
     return F.substring(text, pos, length).try_cast("int")
 
 
-def _clock_ms(hour: Column, minute: Column, second: Column) -> Column:
-    ok = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-    return F.when(ok, (hour * 3600 + minute * 60 + second).cast("bigint") * 1000)
+def _stands(text: Column, sep: str) -> Column:
+    """Whether a text starts like ``dd?MM?yyyy HH:mm:ss`` with the given separator."""
+    frame = {3: sep, 6: sep, 11: " ", 14: ":", 17: ":"}
+    conditions = [F.substring(text, at, 1) == mark for at, mark in frame.items()]
+    whole = F.length(text) >= 19
+    for condition in conditions:
+        whole = condition & whole
+    return whole
 
 
-def _day_ms(date_text: Column, year: Column) -> Column:
-    # The cast refuses days that do not exist; year 0 exists for Spark but not here.
-    return F.when(year > 0, F.unix_date(date_text.try_cast("date")).cast("bigint") * DAY_MS)
+def _date_text(text: Column, day_at: int, month_at: int) -> Column:
+    """``yyyy-MM-dd`` from a text with the year at 7; blanks stand for leading zeros."""
+    parts = ((7, 4), (month_at, 2), (day_at, 2))
+    return F.concat_ws("-", *[F.lpad(F.trim(F.substring(text, at, n)), n, "0") for at, n in parts])
 
 
-def iso_ms(token: Column) -> Column:
-    """Milliseconds of a text of the form ``ISO_PATTERN``; null if it names no real moment."""
-    clock = _clock_ms(_int(token, 12, 2), _int(token, 15, 2), _int(token, 18, 2))
-    fraction = F.when(F.length(token) > 19, F.substring(token, 21, 1 << 20).try_cast("int")).otherwise(0)
-    millis = F.when(fraction.between(0, 999), fraction.cast("bigint"))
-    return _day_ms(F.substring(token, 1, 10), _int(token, 1, 4)) + clock + millis
-
-
-def _leading_ms(text: Column, day_at: int, month_at: int) -> Column:
-    """Milliseconds of a date and time in the first 19 characters, given where day and month are."""
-    year, month, day = _int(text, 7, 4), _int(text, month_at, 2), _int(text, day_at, 2)
-    date_text = F.concat_ws(
-        "-",
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
-    whole = year.isNotNull() & month.between(1, 12) & day.between(1, 31)
-    clock = _clock_ms(_int(text, 12, 2), _int(text, 15, 2), _int(text, 18, 2))
-    return F.when(whole, _day_ms(date_text, year) + clock)
+def _day(date_text: Column) -> Column:
+    """Days since 1970.  The cast refuses days that do not exist; year 0 exists for Spark but not here."""
+    return F.when(~date_text.startswith("0000"), F.unix_date(date_text.try_cast("date")))
 
 
-def leading_date_ms(text: Column) -> Column:
-    """The three forms accepted only at the start of a line: dd/MM/yyyy, MM/dd/yyyy, dd.MM.yyyy."""
-
-    def framed(sep: str) -> Column:
-        return (
-            (F.substring(text, 3, 1) == sep)
-            & (F.substring(text, 6, 1) == sep)
-            & (F.substring(text, 11, 1) == " ")
-            & (F.substring(text, 14, 1) == ":")
-            & (F.substring(text, 17, 1) == ":")
-            & (F.length(text) >= 19)
-        )
+def _clock_ms(clock: Column) -> Column:
+    hour, minute, second = _int(clock, 1, 2), _int(clock, 4, 2), _int(clock, 7, 2)
+    ok = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
+    return F.when(ok, (hour * 3600 + minute * 60 + second) * 1000)
 
-    return F.when(
-        framed("/"), F.coalesce(_leading_ms(text, 1, 4), _leading_ms(text, 4, 1))
-    ).when(framed("."), _leading_ms(text, 1, 4))
 
+def with_timestamp(rows: DataFrame, text: str = "text", out: str = "own_ms") -> DataFrame:
+    """Add the timestamp of a text in milliseconds, or null.
 
-def detect_ts_ms(text: Column) -> Column:
-    """Timestamp of a line in milliseconds, or null.
+    The leftmost ISO form decides, wherever it stands: if it names no real moment the text has no
+    timestamp.  Only texts without any ISO form are tried for a date at their start: dd/MM/yyyy,
+    else MM/dd/yyyy; or dd.MM.yyyy.
 
-    The leftmost ISO form decides, wherever it stands: if it names no real moment the line has no
-    timestamp.  Only lines without any ISO form are tried for a date at their start.
+    Each step is a column of its own.  Spark keeps a column that is used several times, so that
+    the pattern runs once per line and the generated code stays small.
     """
-    token = F.regexp_extract(text, ISO_PATTERN, 0)
-    return F.when(token != "", iso_ms(token)).otherwise(leading_date_ms(text))
+    line, token = F.col(text), F.col("_token")
+    has_token = token != ""
+    slashed, dotted = _stands(line, "/"), _stands(line, ".")
+    fraction = F.when(F.length(token) > 19, F.substring(token, 21, 1 << 20).try_cast("int")).otherwise(0)
+    found = rows.withColumn("_token", F.regexp_extract(line, ISO_PATTERN, 0))
+    found = found.withColumns(
+        {
+            "_form": F.when(has_token, 1).when(slashed, 2).when(dotted, 3),
+            "_millis": F.when(has_token, fraction).otherwise(0),
+        }
+    )
+    form = F.col("_form")
+    found = found.withColumns(
+        {
+            "_date": F.when(form == 1, F.substring(token, 1, 10)).when(form >= 2, _date_text(line, 1, 4)),
+            "_swapped": F.when(form == 2, _date_text(line, 4, 1)),
+            "_clock": F.when(form == 1, F.substring(token, 12, 8)).when(form >= 2, F.substring(line, 12, 8)),
+        }
+    )
+    found = found.withColumns(
+        {"_days": F.coalesce(_day(F.col("_date")), _day(F.col("_swapped"))), "_in_day": _clock_ms(F.col("_clock"))}
+    )
+    millis = F.when(F.col("_millis").between(0, 999), F.col("_millis"))
+    total = F.col("_days").cast("bigint") * DAY_MS + F.col("_in_day") + millis
+    return found.withColumn(out, total).drop("_token", "_form", "_millis", "_date", "_swapped", "_clock", "_days", "_in_day")
 
 
 def ms_to_ntz(ms: Column) -> Column:
@@ -132,13 +136,9 @@ def classify(lines: DataFrame, schema_matched: Column | None = None) -> DataFram
     """Add ``own_ms``, ``own_level`` and ``is_primary`` to a table with a ``text`` column.
 
     A line starts a record if the extraction schema recognised it, or if it has both a
-    timestamp and a level.  The ISO token is a column of its own, so that the pattern runs once
-    per line however many parts are cut from it.
+    timestamp and a level.
     """
-    out = lines.withColumn("_iso", F.regexp_extract("text", ISO_PATTERN, 0)).withColumn(
-        "own_ms", F.when(F.col("_iso") != "", iso_ms(F.col("_iso"))).otherwise(leading_date_ms(F.col("text")))
-    )
-    out = out.withColumn("own_level", detect_level(F.col("text"))).drop("_iso")
+    out = with_timestamp(lines).withColumn("own_level", detect_level(F.col("text")))
     both = F.col("own_ms").isNotNull() & (F.col("own_level") > 0)
     primary = both if schema_matched is None else both | F.coalesce(schema_matched, F.lit(False))
     return out.withColumn("is_primary", primary)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.functions.detect import detect_ts_ms, ms_to_ntz
+from lumberline.functions.detect import ms_to_ntz, with_timestamp
 from lumberline.plans.blocks import FREE_TEXT, UNTRIMMED, Schema, SchemaError, checked, schema_from_json
 from lumberline.plans.importers import PRESETS, schema_from_grok, schema_from_log4j, suggest_schema
-from lumberline.plans.regexes import BLANK, Variant, variants
+from lumberline.plans.regexes import Variant, variants
 
 # Noncharacters, reserved by Unicode for use inside a program: they cannot stand in a valid line.
 ROW, CELL = "\ufdd0", "\ufdd1"
@@ -51,8 +51,12 @@ def _attempt(text: Column, schema: Schema, variant: Variant) -> Column:
     return cells
 
 
+# Fixed value: all blanks of Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _trimmed(cell: Column) -> Column:
-    return F.regexp_replace(cell, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(cell, F.lit(BLANKS))
 
 
 def _present(cell: Column) -> Column:
@@ -225,6 +229,8 @@ def typed_fields(lines: DataFrame, schema: Schema, fields: str = "fields") -> Da
         elif block.kind == "hex":
             value = F.conv(F.regexp_replace(value, "^0[xX]", ""), 16, 10).try_cast("decimal(20,0)")
         elif block.kind == "timestamp":
-            value = ms_to_ntz(detect_ts_ms(value))
+            lines = with_timestamp(lines.withColumn("_value", value), "_value", f"_ms{at}")
+            value = ms_to_ntz(F.col(f"_ms{at}"))
         columns.append(value.alias(block.name))
-    return lines.select("*", *columns)
+    kept = [c for c in lines.columns if c != "_value" and not c.startswith("_ms")]
+    return lines.select(*kept, *columns)

@@ -2,7 +2,8 @@
 
 A stream delivers ``(file_path, generation, seq, text, terminated)``: the lines of a file in the
 order of ``seq``, ``terminated=false`` for a last piece without its newline, and a new
-``generation`` when the file was replaced.
+``generation`` when the file was replaced.  Text files deliver ``segment, offset`` in place of
+``seq``: a piece of a file, and where a run of its lines starts.
 
 Every micro-batch is a batch job with the same two-step numbering as for files, so that a file that
 brings a third of all lines is still spread over many tasks.  What a file's next lines continue is
@@ -37,7 +38,8 @@ def read_log_stream(spark: SparkSession, folder: str, suffix: str = "*.log", **o
     return raw.select(
         F.regexp_replace(path, "@[^/]*$", "").alias("file_path"),
         F.lit(0).cast("bigint").alias("generation"),
-        F.struct(path.alias("segment"), F.monotonically_increasing_id().alias("at")).alias("seq"),
+        path.alias("segment"),
+        F.col("_metadata.file_block_start").alias("offset"),
         F.regexp_replace("value", r"\r\z", "").alias("text"),
         F.lit(True).alias("terminated"),
     )
@@ -102,6 +104,9 @@ def append_batch(table: LogTable, batch: DataFrame, batch_id: int) -> None:
     """
     if batch.isEmpty():
         return
+    if "seq" not in batch.columns:
+        seq = F.struct("segment", "offset", F.monotonically_increasing_id().alias("at"))
+        batch = batch.withColumn("seq", seq).drop("segment", "offset")
     newest = batch.groupBy("file_path").agg(F.max("generation").alias("generation"))
     state = table.state(before=batch_id)
     known = state.join(newest, ["file_path", "generation"], "left_semi")
