@@ -60,8 +60,12 @@ def _date_text(text: Column, day_at: int, month_at: int) -> Column:
 
 
 def _day(date_text: Column) -> Column:
-    """Days since 1970.  The cast refuses days that do not exist; year 0 exists for Spark but not here."""
-    return F.when(~date_text.startswith("0000"), F.unix_date(date_text.try_cast("date")))
+    """Days since 1970.  The cast refuses days that do not exist; year 0 exists for Spark but not here.
+
+    The cast would also take ``2026-07-1T`` for a date, so that all but digits must be the dashes.
+    """
+    only_digits = F.translate(date_text, "0123456789", "") == "--"
+    return F.when(only_digits & ~date_text.startswith("0000"), F.unix_date(date_text.try_cast("date")))
 
 
 def _clock_ms(clock: Column) -> Column:
