@@ -167,7 +167,7 @@ def plain(spark: S, sf_dir: str) -> DataFrame:
 
 
 @query("L9_records", sql(r"""SELECT file_path, logical_id, min(line_no) AS first_line, count(*) AS n_lines, ts_ms, level,
-  string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines
+  string_agg(text, chr(10) ORDER BY line_no) AS text, false AS truncated FROM lines
   GROUP BY file_path, logical_id, CASE WHEN is_plain THEN line_no ELSE 0 END, ts_ms, level"""))
 def assembled(spark: S, sf_dir: str) -> DataFrame:
     return records.assemble_records(events(spark, sf_dir))

@@ -18,7 +18,7 @@ _HALF_HOUR = "30 minutes"
 
 def _tail_slices(spark: S, sf_dir: str) -> list[DataFrame]:
     """The event logs as three deliveries; the first two end within a line of some files."""
-    lines = views.event_lines(spark, sf_dir, BLOCK).select("file_path", "seq", "text")
+    lines = events(spark, sf_dir).select("file_path", "seq", "text")
     top = lines.agg(F.max("seq")).first()[0]
     cuts = [-1, top // 3, 2 * top // 3, top + 1]
     slices = []
@@ -65,7 +65,7 @@ def unfinished(spark: S, sf_dir: str) -> DataFrame:
 def replaced(spark: S, sf_dir: str) -> DataFrame:
     table = tail.LogTable(spark, scratch(spark, "tail"))
     tail.append_batch(table, _tail_slices(spark, sf_dir)[0], 0)
-    whole = views.event_lines(spark, sf_dir, BLOCK).select(
+    whole = events(spark, sf_dir).select(
         "file_path", F.lit(1).cast("bigint").alias("generation"), "seq", "text", F.lit(True).alias("terminated"))
     tail.append_batch(table, whole, 1)
     return table.lines().groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"), F.count("ts_ms").alias("dated"))

@@ -104,7 +104,7 @@ def json_keys(spark: S, sf_dir: str) -> DataFrame:
     return payloads.json_keys(payloads.json_blocks(records.assemble_records(events(spark, sf_dir))))
 
 
-@query("L9_plain_records", sql("SELECT file_path, logical_id, line_no AS first_line, CAST(1 AS BIGINT) AS n_lines, ts_ms, level, text FROM lines", DOCUMENT_LINES))
+@query("L9_plain_records", sql("SELECT file_path, logical_id, line_no AS first_line, CAST(1 AS BIGINT) AS n_lines, ts_ms, level, text, false AS truncated FROM lines", DOCUMENT_LINES))
 def plain_records(spark: S, sf_dir: str) -> DataFrame:
     return records.assemble_records(documents(spark, sf_dir))
 

@@ -137,16 +137,16 @@ def extract_preset(lines: DataFrame, name: str) -> DataFrame:
 
 
 def frequent_shapes(lines: DataFrame, shapes: int = 20) -> DataFrame:
-    """The most frequent line shapes of a table, with one line of each as an example."""
+    """The most frequent line shapes of a table, with one line of each as an example.
+
+    Shapes are counted without carrying texts; examples are looked up for the few that remain.
+    """
     from lumberline.functions.text import normalize
 
-    filled = lines.where(_trimmed(F.col("text")) != "")
-    return (
-        filled.groupBy(normalize(F.col("text")).alias("shape"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("example"))
-        .orderBy(F.desc("n"), "shape")
-        .limit(shapes)
-    )
+    shaped = lines.where(_trimmed(F.col("text")) != "").select("text", normalize(F.col("text")).alias("shape"))
+    counts = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape").limit(shapes)
+    found = shaped.join(F.broadcast(counts), "shape")  # at most ``shapes`` rows
+    return found.groupBy("shape").agg(F.first("n").alias("n"), F.min("text").alias("example")).orderBy(F.desc("n"), "shape")
 
 
 def infer_schema(lines: DataFrame, shapes: int = 20) -> tuple[Schema, DataFrame]:

@@ -115,9 +115,14 @@ def seek_error(lines: DataFrame, probes: DataFrame, width: int = HOUR_MS) -> Dat
     return joined.select("probe", "at", *[F.coalesce(F.col("pick")[c], F.col("row")[c]).alias(c) for c in POSITION])
 
 
+def _numbered_hits(view: DataFrame, text: str, case_sensitive: bool) -> DataFrame:
+    """Positions and whether the line contains the text; the texts themselves are not sorted."""
+    return with_row_no(view.select(*POSITION, contains_literal(F.col("text"), text, case_sensitive).alias("hit")))
+
+
 def find_next(view: DataFrame, text: str, row: int, case_sensitive: bool = False, wrap: bool = True) -> DataFrame:
     """Position of the next line after ``row`` that contains the text; null if there is none."""
-    hits = with_row_no(view).where(contains_literal(F.col("text"), text, case_sensitive))
+    hits = _numbered_hits(view, text, case_sensitive).where("hit")
     at = F.col("row_no")
     found = hits.agg(F.min(F.when(at > row, at)).alias("ahead"), F.min(F.when(at <= row, at)).alias("wrapped"))
     return found.select((F.coalesce("ahead", "wrapped") if wrap else F.col("ahead")).alias("row_no"))
@@ -125,9 +130,8 @@ def find_next(view: DataFrame, text: str, row: int, case_sensitive: bool = False
 
 def find_previous(view: DataFrame, text: str, row: int, case_sensitive: bool = False, wrap: bool = True) -> DataFrame:
     """Position of the last line before ``row`` that contains the text; a row outside the view means its end."""
-    numbered = with_row_no(view)
-    at = F.col("row_no")
-    hit = contains_literal(F.col("text"), text, case_sensitive)
+    numbered = _numbered_hits(view, text, case_sensitive)
+    at, hit = F.col("row_no"), F.col("hit")
     found = numbered.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(hit & (at < row), at)).alias("behind"),

@@ -57,12 +57,12 @@ def json_blocks(records: DataFrame, keys: list[str] | None = None, max_blocks: i
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            blocks = batch["text"].map(lambda text: find_json(text, max_blocks))
-            out = batch[keys].assign(block=blocks.map(lambda b: list(enumerate(b)))).explode("block")
-            out = out[out["block"].notna()]
-            yield out[keys].assign(
-                block_no=[b[0] for b in out["block"]], json=[b[1] for b in out["block"]]
-            )
+            rows = [
+                (*key, number, block)
+                for key, text in zip(batch[keys].itertuples(index=False, name=None), batch["text"])
+                for number, block in enumerate(find_json(text, max_blocks))
+            ]
+            yield pd.DataFrame(rows, columns=[*keys, "block_no", "json"], dtype=object)
 
     return candidates.mapInPandas(scan, f"{types}, block_no int, json string")
 

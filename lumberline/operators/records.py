@@ -168,37 +168,33 @@ def record_heads(lines: DataFrame, filtered: bool = False) -> DataFrame:
     )
 
 
-def record_lines_capped(lines: DataFrame, max_lines: int = RECORD_LINES) -> DataFrame:
-    """The first ``max_lines`` lines of every record of more than free text.
+def assemble_records(
+    lines: DataFrame, max_lines: int = RECORD_LINES, max_chars: int = RECORD_CHARS
+) -> DataFrame:
+    """Text of each record: its lines joined by newlines, up to the size a record is shown with.
 
-    Spark prunes each task to that many lines per record before the shuffle, so that one endless
-    record cannot fill a task.
+    ``truncated`` says that a record goes on.  Spark prunes each task to the first lines of every
+    record before the shuffle, so that one endless record cannot fill a task; lines of free text are
+    records of their own and are not grouped at all.
     """
     order = Window.partitionBy("file_path", "logical_id").orderBy("line_no")
     ranked = lines.where(~F.col("is_plain")).withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= max_lines).drop("_rank")
-
-
-def assemble_records(
-    lines: DataFrame, max_lines: int = RECORD_LINES, max_chars: int = RECORD_CHARS
-) -> DataFrame:
-    """Text of each record: its lines joined by newlines, up to the size a record is shown with."""
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n"
-    )
-    grouped = (
-        record_lines_capped(lines, max_lines)
-        .groupBy("file_path", "logical_id")
-        .agg(
-            F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"),
-            F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), joined.alias("text"),
-        )
+    first = ranked.where(F.col("_rank") <= max_lines + 1)
+    shown = F.when(F.col("_rank") <= max_lines, F.struct("line_no", "text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["text"]), "\n")
+    grouped = first.groupBy("file_path", "logical_id").agg(
+        F.min("line_no").alias("first_line"), F.count(shown).alias("n_lines"),
+        F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), joined.alias("text"),
+        (F.max("_rank") > max_lines).alias("_more"),
     )
     free = lines.where(F.col("is_plain")).select(
         "file_path", "logical_id", F.col("line_no").alias("first_line"),
-        F.lit(1).cast("bigint").alias("n_lines"), "ts_ms", "level", "text",
+        F.lit(1).cast("bigint").alias("n_lines"), "ts_ms", "level", "text", F.lit(False).alias("_more"),
     )
-    return grouped.unionByName(free).withColumn("text", F.left(F.col("text"), F.lit(max_chars)))
+    both = grouped.unionByName(free)
+    return both.withColumns(
+        {"truncated": F.col("_more") | (F.length("text") > max_chars), "text": F.left(F.col("text"), F.lit(max_chars))}
+    ).drop("_more")
 
 
 def record_headers(lines: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except OSError:
                 end, boundary = None, None
             rows.append((path, size, end, boundary))
-        yield pd.DataFrame(rows, columns=["file_path", "size", "consumed", "boundary"])
+        yield pd.DataFrame(rows, columns=["file_path", "size", "consumed", "boundary"], dtype=object)
 
 
 def _with_fingerprints(files: DataFrame) -> DataFrame:
@@ -103,11 +103,14 @@ def diff_manifest(previous: DataFrame, current: DataFrame) -> DataFrame:
     return old.join(new, "file_path", "full_outer").select("file_path", "consumed", "size", change_kind().alias("change"))
 
 
+LINE_COLUMNS = ["file_path", "block", "seq", "text", "provisional"]
+
+
 def _range_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The lines that start in byte ranges of files.  A line belongs to the range it starts in."""
     for batch in batches:
         for path, first, start, stop in zip(batch["file_path"], batch["first"], batch["start"], batch["stop"]):
-            rows = []
+            first, start, stop, rows = int(first), int(start), int(stop), []
             with _open(_uri(path)) as raw, io.BufferedReader(raw, 1 << 20) as handle:
                 handle.seek(start)
                 at = start
@@ -125,9 +128,9 @@ def _range_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((path, start, at, body.decode("utf-8", "replace"), not ended))
                     at += len(line)
                     if len(rows) == 8192:
-                        yield pd.DataFrame(rows, columns=["file_path", "block", "seq", "text", "provisional"])
+                        yield pd.DataFrame(rows, columns=LINE_COLUMNS, dtype=object)
                         rows = []
-            yield pd.DataFrame(rows, columns=["file_path", "block", "seq", "text", "provisional"])
+            yield pd.DataFrame(rows, columns=LINE_COLUMNS, dtype=object)
 
 
 def read_ranges(changes: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -13,13 +13,14 @@ a failure overwrites its own output and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from lumberline.functions.detect import classify
-from lumberline.operators.records import assign_records, last_context
+from lumberline.operators.records import START, assign_records, last_context
+from lumberline.session import pinned
 
 STATE = (
     "file_path string, generation bigint, start_line bigint, start_id bigint, start_ms bigint, "
@@ -57,15 +58,21 @@ class LogTable:
         except AnalysisException:
             return None
 
-    def state(self, before: int | None = None) -> DataFrame:
-        """The latest row of every file, of the batches before the given one."""
+    def state(self, after: int | None = None) -> DataFrame:
+        """One row per file, as of the end of a batch; of the last one if none is named.
+
+        Every batch writes the state of all files, so that one folder is read however many batches
+        there were.
+        """
+        if after is not None and after < 0:
+            return self.spark.createDataFrame([], STATE)
+        if after is not None:
+            return self.spark.read.schema(STATE).parquet(f"{self.folder}/state/batch={after}")
         rows = self._read("state")
         if rows is None:
             return self.spark.createDataFrame([], STATE)
-        if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("file_path", "batch")]), "batch")
-        return rows.groupBy("file_path").agg(newest.alias("s")).select("file_path", "s.*")
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == last).drop("batch")
 
     def lines(self) -> DataFrame:
         """The lines of the current generation of every file, with unfinished last lines flagged."""
@@ -85,15 +92,18 @@ class LogTable:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{part}/batch={batch}")
 
 
-def _ordered_blocks(rows: DataFrame) -> DataFrame:
-    """Give every line a block of bounded size in the order of its file.
+def _stage(batch: DataFrame, path: str) -> DataFrame:
+    """Write a micro-batch in the order of its files, cut into blocks of bounded size.
 
     A micro-batch arrives in any order, so that its lines are range-sorted; the sort decides the
-    blocks and spreads a large file over many of them.
+    blocks and spreads a large file over many of them.  Everything that follows reads the written
+    rows, so that all of it sees the same blocks.
     """
-    placed = rows.repartitionByRange("file_path", "seq").sortWithinPartitions("file_path", "seq")
+    placed = batch.repartitionByRange("file_path", "seq").sortWithinPartitions("file_path", "seq")
     at = F.monotonically_increasing_id()
-    return placed.withColumn("seq", at).withColumn("block", F.floor(F.col("seq") / BLOCK_LINES))
+    blocks = placed.withColumn("seq", at).withColumn("block", F.floor(F.col("seq") / BLOCK_LINES))
+    blocks.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.parquet(path)
 
 
 def append_batch(table: LogTable, batch: DataFrame, batch_id: int) -> None:
@@ -102,45 +112,46 @@ def append_batch(table: LogTable, batch: DataFrame, batch_id: int) -> None:
     A line is built from the piece held back before and the first piece now; a last piece without
     newline is held back.  A file whose generation is newer than the state starts afresh.
     """
+    state = table.state(after=batch_id - 1)
     if batch.isEmpty():
+        table.write("state", state, batch_id)
         return
     if "seq" not in batch.columns:
         seq = F.struct("segment", "offset", F.monotonically_increasing_id().alias("at"))
         batch = batch.withColumn("seq", seq).drop("segment", "offset")
-    newest = batch.groupBy("file_path").agg(F.max("generation").alias("generation"))
-    state = table.state(before=batch_id)
-    known = state.join(newest, ["file_path", "generation"], "left_semi")
+    staged = _stage(batch, f"{table.folder}/staged/batch={batch_id}")
 
-    rows = batch.join(newest, ["file_path", "generation"], "left_semi")
-    edges = rows.groupBy("file_path").agg(
+    # One row per file: its generation, the edges of its pieces, and what was known of it.
+    edges = staged.groupBy("file_path", "generation").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by("terminated", "seq").alias("whole")
     )
-    rows = rows.join(edges, "file_path").join(known.select("file_path", "tail"), "file_path", "left")
-    opened = (F.col("seq") == F.col("first_seq")) & F.col("tail").isNotNull()
-    rows = rows.withColumn("text", F.when(opened, F.concat("tail", "text")).otherwise(F.col("text")))
+    newest = Window.partitionBy("file_path").orderBy(F.desc("generation"))
+    edges = edges.withColumn("_age", F.row_number().over(newest)).where("_age = 1").drop("_age")
+    old = state.withColumnsRenamed({"generation": "old_generation", "tail": "old_tail"})
+    edges = edges.join(old, "file_path", "left").where(
+        F.col("old_generation").isNull() | (F.col("generation") >= F.col("old_generation"))
+    )
+    goes_on = F.col("generation") == F.col("old_generation")
+    files = pinned(edges.withColumns({c: F.when(goes_on, F.col(c)) for c in (*START, "old_tail")}).drop("old_generation"))
+
+    rows = staged.join(files.select("file_path", "generation", "first_seq", "last_seq", "whole", "old_tail"),
+                       ["file_path", "generation"])
+    opened = (F.col("seq") == F.col("first_seq")) & F.col("old_tail").isNotNull()
+    rows = rows.withColumn("text", F.when(opened, F.concat("old_tail", "text")).otherwise(F.col("text")))
     held = ~F.col("whole") & (F.col("seq") == F.col("last_seq"))
-    tails = rows.where(held).select("file_path", F.col("text").alias("new_tail"))
-    finished = rows.where(~held).select("file_path", "generation", "seq", "text")
-
-    # The blocks are counted in one branch and joined in another; both must see the same ones, so
-    # the classified lines are written before they are numbered.
-    staged = f"{table.folder}/staged/batch={batch_id}"
-    classify(_ordered_blocks(finished)).write.mode("overwrite").parquet(staged)
-    lines = assign_records(table.spark.read.parquet(staged), start=known)
+    finished = rows.where(~held).select("file_path", "generation", "block", "seq", "text")
+    lines = assign_records(classify(finished), start=files)
     table.write("lines", lines.drop("block", "seq"), batch_id)
 
-    written = table.spark.read.parquet(f"{table.folder}/lines/batch={batch_id}")
-    context = last_context(written)
-    after = (
-        newest.join(context, "file_path", "left")
-        .join(known.drop("generation", "tail").select("file_path", *[F.col(c).alias(f"old_{c}") for c in
-              ("start_line", "start_id", "start_ms", "start_level")]), "file_path", "left")
-        .join(tails, "file_path", "left")
-    )
-    fresh = F.col("start_line").isNotNull()
-    columns = [F.when(fresh, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
-               for c in ("start_line", "start_id", "start_ms", "start_level")]
-    table.write("state", after.select("file_path", "generation", *columns, F.col("new_tail").alias("tail")), batch_id)
+    context = last_context(table.spark.read.parquet(f"{table.folder}/lines/batch={batch_id}"))
+    tails = rows.where(held).select("file_path", F.col("text").alias("tail"))
+    before = files.select("file_path", "generation", *[F.col(c).alias(f"old_{c}") for c in START])
+    after = before.join(context, "file_path", "left").join(tails, "file_path", "left")
+    known = F.col("start_line").isNotNull()
+    columns = [F.when(known, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in START]
+    changed = after.select("file_path", "generation", *columns, "tail")
+    others = state.join(files, "file_path", "left_anti")
+    table.write("state", changed.unionByName(others), batch_id)
 
 
 def stream_records(stream: DataFrame, folder: str, **trigger: object) -> StreamingQuery:

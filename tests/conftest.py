@@ -10,8 +10,11 @@ from lumberline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "lumberline-tests", partitions=4)
+    session = local_session(4, "lumberline-tests", partitions=2)
     session.sparkContext.setLogLevel("ERROR")
+    # Compiling code for a handful of rows takes most of the time of a test; the queries checked
+    # against SQL run with it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
