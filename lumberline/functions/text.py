@@ -14,7 +14,8 @@ def normalize(text: Column, chars: int | None = TEMPLATE_CHARS) -> Column:
 
     ``chars=None`` builds the template from the whole message.
     """
-    pattern = r"[\p{L}\p{N}_]*\p{Nd}[\p{L}\p{N}_]*"
+    # Tried at the start of a word only, and without going back: each character is looked at once.
+    pattern = r"(?<![\p{L}\p{N}_])[[\p{L}\p{N}_]&&[^\p{Nd}]]*+\p{Nd}[\p{L}\p{N}_]*+"
     if chars is None:
         return F.regexp_replace(text, pattern, "#")
     head = F.regexp_replace(F.left(text, F.lit(chars)), pattern, "#")

@@ -38,7 +38,8 @@ LEVEL_WORDS = "FATAL|ERROR|WARNING|WARN|INFO|DEBUG|TRACE"  # fixed value
 RULES = {
     "level": rf"{_START}(?:{LEVEL_WORDS}){_END}",
     "string": r'''"[^"\n]*+(?:(?<=\\)"[^"\n]*+)*+"|'[^'\n]*+(?:(?<=\\)'[^'\n]*+)*+\'''',
-    "url": rf"\p{{L}}[\p{{L}}\p{{N}}+\-.]*+://[^{_BLANK}<>{{}}|^]*[^{_BLANK}<>{{}}|^,;.)'\"\]]",
+    # A letter inside a word starts no address that its word would not have started.
+    "url": rf"(?:\G|(?<!\p{{L}}))\p{{L}}[\p{{L}}\p{{N}}+\-.]*+://[^{_BLANK}<>{{}}|^]*[^{_BLANK}<>{{}}|^,;.)'\"\]]",
     "path": rf"{_START}(?:{_PATH_STARTS}){_PATH_BODY}",
     "timestamp": rf"{_START}(?>{_DATE}(?:[T ]{_CLOCK})?+|{_CLOCK}){_END}",
     "guid": rf"{_START}(?:\{{{_GUID}\}}|{_GUID}){_END}",
@@ -46,7 +47,8 @@ RULES = {
     "raw_hex": rf"{_START}(?<!\.)(?=\p{{Nd}})(?=\p{{Nd}}*+[A-Fa-f]){_HEX}{{6,}}+{_END}",
     "number": rf"{_START}(?<![.\-,])\p{{Nd}}(?:[\p{{Nd}}.]*+(?<!\.)|[\p{{Nd}}.]*?(?=\.(?![\p{{Nd}}.])))(?![\p{{L}}_\-,])",
 }
-ANY_TOKEN = "|".join(f"(?:{rule})" for rule in RULES.values())
+# The first test passes over all places where no token can start.
+ANY_TOKEN = r"(?=[\p{L}\p{Nd}\"'/.{])(?:" + "|".join(f"(?:{rule})" for rule in RULES.values()) + ")"
 
 
 def token_kind(token: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.text import template_display
 from lumberline.operators.stats import (
-    BINS, bin_start, bins720, counted_records, template_counts, top_k, totals,
+    BINS, bin_start, bins720, counted_records, template_counts, top_k,
 )
 from lumberline.session import pinned
 
@@ -102,11 +102,17 @@ def error_spikes(lines: DataFrame, filtered: bool = False, bins: DataFrame | Non
     return _insight(largest, "ErrorSpike", **_run_times(), count=F.col("sum"), factor=factor, magnitude=F.col("sum"))
 
 
-def spam(lines: DataFrame, filtered: bool = False) -> DataFrame:
+def document_facts(lines: DataFrame, filtered: bool = False) -> Column:
+    """Number of records, records with a time, and time span, as one scalar subquery."""
+    span = F.max("ts_ms") - F.min("ts_ms")
+    facts = F.struct(F.count(F.lit(1)).alias("records"), F.count("ts_ms").alias("dated"), span.alias("span_ms"))
+    return counted_records(lines, filtered).agg(facts.alias("facts")).scalar()
+
+
+def spam(lines: DataFrame, filtered: bool = False, facts: Column | None = None) -> DataFrame:
     """The two most frequent templates that dominate the document or come in a dense stream."""
-    whole = totals(lines, filtered)
-    span = counted_records(lines, filtered).agg((F.max("ts_ms") - F.min("ts_ms")).alias("span"))
-    records, dated, span_ms = _of(whole, "records"), _of(whole, "records_with_ts"), _of(span, "span")
+    facts = document_facts(lines, filtered) if facts is None else facts
+    records, dated, span_ms = facts["records"], facts["dated"], facts["span_ms"]
     rate = F.when(span_ms > 0, dated * 1000.0 / span_ms).otherwise(0.0)
     length = F.col("last_ms") - F.col("first_ms")
     density = F.when(length > 0, F.col("records") * 1000.0 / length).otherwise(0.0)
@@ -136,11 +142,10 @@ def silences(lines: DataFrame, filtered: bool = False, bucket_ms: int = 3_600_00
     return both.withColumn("gap_ms", F.col("to_ms") - F.col("from_ms"))
 
 
-def gaps(lines: DataFrame, filtered: bool = False) -> DataFrame:
+def gaps(lines: DataFrame, filtered: bool = False, facts: Column | None = None) -> DataFrame:
     """The two longest silences, if they are long for this document."""
-    span = counted_records(lines, filtered).agg(
-        (F.max("ts_ms") - F.min("ts_ms")).alias("span"), F.count("ts_ms").alias("n"))
-    length, n = _of(span, "span"), _of(span, "n")
+    facts = document_facts(lines, filtered) if facts is None else facts
+    length, n = facts["span_ms"], facts["dated"]
     shortest = F.greatest(
         F.lit(GAP_MS).cast("bigint"), (length / n * GAP_MEANS).cast("bigint"), (length * GAP_SPAN).cast("bigint")
     )
@@ -181,11 +186,12 @@ def rising_errors(lines: DataFrame, filtered: bool = False, bins: DataFrame | No
 def insights(lines: DataFrame, filtered: bool = False) -> DataFrame:
     """All insights, by kind and then by size; the first eight, numbered by ``rank``."""
     bins = pinned(bins720(lines, filtered))  # 720 rows, read by four of the six kinds
+    facts = document_facts(lines, filtered)
     found = reduce(
         DataFrame.unionByName,
         [
-            error_spikes(lines, filtered, bins), bursts(lines, filtered, bins), spam(lines, filtered),
-            gaps(lines, filtered), rising_errors(lines, filtered, bins), rising_volume(lines, filtered, bins),
+            error_spikes(lines, filtered, bins), bursts(lines, filtered, bins), spam(lines, filtered, facts),
+            gaps(lines, filtered, facts), rising_errors(lines, filtered, bins), rising_volume(lines, filtered, bins),
         ],
     )
     by_kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))

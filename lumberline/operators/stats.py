@@ -13,6 +13,7 @@ from lumberline.functions.detect import ERROR, FATAL, WARN, level_name
 from lumberline.functions.text import EXAMPLE_CHARS, normalize
 from lumberline.operators.order import position
 from lumberline.operators.records import record_heads, record_key
+from lumberline.session import pinned
 
 BINS = 720            # fixed value: bins of the statistics histogram
 TIMELINE_BINS = 4096  # fixed value: bins of the timeline
@@ -159,13 +160,16 @@ def _with_share(found: DataFrame, lines: DataFrame, filtered: bool) -> DataFrame
 def top_messages(lines: DataFrame, k: int = TOP_MESSAGES, filtered: bool = False) -> DataFrame:
     """The most frequent templates with the details of their first message.
 
-    The ranking needs counts only; first messages are then looked up for the ``k`` winners, instead
-    of carrying a text for every template through the shuffle.
+    The ranking needs counts only.  The first message of a winner has the winner's first time, so
+    that the second pass reads texts for those few moments alone.
     """
-    winners = top_k(template_counts(lines, filtered), k).select("template")
-    rows = _template_rows(lines, filtered).drop("template")
-    picked = rows.join(F.broadcast(winners), normalize(F.col("text")) == F.col("template")).drop("template")
-    return _with_share(top_k(templates(picked, filtered=False), k), lines, filtered)
+    winners = pinned(top_k(template_counts(lines, filtered), k))  # at most ``k`` rows, read twice
+    moments = winners.select(F.col("first_ms").alias("at")).distinct()
+    heads = record_heads(lines, filtered)
+    heads = heads.join(F.broadcast(moments), F.col("ts_ms").eqNullSafe(F.col("at")), "left_semi")
+    details = templates(heads).select("template", "level", "example", "first_file", "first_entry")
+    found = winners.join(F.broadcast(details), "template")
+    return top_k(_with_share(found, lines, filtered), k)
 
 
 def top_errors(lines: DataFrame, k: int = TOP_ERRORS, filtered: bool = False) -> DataFrame:

@@ -119,13 +119,11 @@ def test_refresh_equals_fresh_load(spark, tmp_path):
 
 
 def test_ranges_read_every_line_once(spark, tmp_path):
-    texts = ["x" * (i % 37) for i in range(500)]
+    texts = ["x" * (i % 17) for i in range(60)]
     (tmp_path / "r.log").write_text("\n".join(texts))
     size = (tmp_path / "r.log").stat().st_size
     row = spark.createDataFrame([(f"file:{tmp_path}/r.log", 0, size)], "file_path string, first bigint, size bigint")
-    for width in (1, 16, 1000, 1 << 20):
-        if width == 1 and size > 20_000:
-            continue
+    for width in (1, 7, 100, 1 << 20):
         lines = manifest.read_ranges(row, width).orderBy("seq").collect()
         assert [r["text"] for r in lines] == texts
 
