@@ -63,12 +63,11 @@ def main() -> None:
     n_lines = prepare(spark, folder)
 
     def ingest() -> None:
-        files.read_log(spark, f"{folder}/text").write.parquet(f"{folder}/log-{uuid.uuid4().hex}")
+        files.ingest_log(spark, f"{folder}/text", f"{folder}/log-{uuid.uuid4().hex}", by_date=False)
 
     seconds = {"ingest": timed(ingest)}
     stored = f"{folder}/log"
-    files.read_log(spark, f"{folder}/text").write.parquet(stored)
-    log = spark.read.parquet(stored)
+    log = files.ingest_log(spark, f"{folder}/text", stored, by_date=False)
     threads, events = log.where(F.col("file_path").contains("/threads/")), log.where(F.col("file_path").contains("/events/"))
     three = FilterSpec(levels=["WARN", "ERROR", "FATAL"], start="1996-01-01 00:00:00", end="2024-02-20 00:00:00",
                        rules=[Rule("qty 1"), Rule("worker-3"), Rule(r"value=\d{2}\.", regex=True, connector="or")])

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.catalog.base import (
-    BLOCK, DOCUMENT_LINES, EVENT_LINES, EVENT_ROWS, LEVEL_CASE, documents, event_fields, events, query, scratch, sql,
-    then,
+    BLOCK, BRACKET_ROWS, DOCUMENT_LINES, EVENT_LINES, EVENT_ROWS, EVENT_SCHEMA, documents, event_fields, events, query,
+    scratch, sql, then,
 )
 from lumberline.functions import detect
 from lumberline.operators import documents as docs
-from lumberline.operators import records
+from lumberline.operators import extract, records
+from lumberline.plans.importers import PRESETS
 from lumberline.sources import files, manifest, sinks, views
 
 S = SparkSession
@@ -146,6 +147,22 @@ def primary(spark: S, sf_dir: str) -> DataFrame:
     return detect.classify(views.event_lines(spark, sf_dir, BLOCK)).select("file_path", "seq", "own_ms", "own_level", "is_primary")
 
 
+@query("L4_primary_by_schema", sql("""SELECT file_path, row_number() OVER w AS line_no, row_number() OVER w - 1 AS logical_id, ms AS ts_ms,
+  CASE WHEN broken THEN 0 WHEN lv = 'ERROR' THEN 5 WHEN lv = 'WARN' THEN 4 ELSE 3 END AS level, false AS is_plain
+  FROM brk WINDOW w AS (PARTITION BY file_path ORDER BY seq)""", BRACKET_ROWS))
+def primary_by_schema(spark: S, sf_dir: str) -> DataFrame:
+    log = extract.structured_log(views.bracket_lines(spark, sf_dir), PRESETS["bracketed"])
+    return log.select("file_path", "line_no", "logical_id", "ts_ms", "level", "is_plain")
+
+
+@query("S1_ingest", sql("SELECT text, level, count(*) AS n FROM (SELECT text, own_level AS level FROM cls) GROUP BY text, level"))
+def ingest(spark: S, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "log-files")
+    views.event_lines(spark, sf_dir, BLOCK).select("text").write.text(folder)
+    table = files.ingest_log(spark, folder, scratch(spark, "log-table"), schema=EVENT_SCHEMA)
+    return table.groupBy("text", F.col("own_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("L5_line_numbers", sql("SELECT file_path, seq, line_no FROM lines"))
 def line_numbers(spark: S, sf_dir: str) -> DataFrame:
     return records.number_lines(views.event_lines(spark, sf_dir, BLOCK)).select("file_path", "seq", "line_no")

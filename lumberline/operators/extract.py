@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.functions.detect import ms_to_ntz, with_timestamp
+from lumberline.functions.detect import classify, ms_to_ntz, with_timestamp
+from lumberline.operators.records import assign_records
 from lumberline.plans.blocks import FREE_TEXT, UNTRIMMED, Schema, SchemaError, checked, schema_from_json
 from lumberline.plans.importers import PRESETS, schema_from_grok, schema_from_log4j, suggest_schema
 from lumberline.plans.regexes import Variant, variants
@@ -106,6 +107,16 @@ def extract_fields(lines: DataFrame, schema: Schema, text: str = "text", out: st
     return found.withColumn(out, F.when(some, F.col(out))).drop("_cells")
 
 
+def structured_log(lines: DataFrame, schema: Schema) -> DataFrame:
+    """Lines of a log whose records a schema recognises, in records and with their fields.
+
+    A line the schema matches opens a record even if it lacks a time or a level.  Where both are
+    there they decide first, so that the schema is not tried only to find the records.
+    """
+    found = extract_fields(lines, schema)
+    return assign_records(classify(found, F.col("fields").isNotNull()), fields="fields")
+
+
 def match_report(lines: DataFrame, schema: Schema, text: str = "text", out: str = "match") -> DataFrame:
     """Add how the schema matched the line: status, number of blocks, what was left over or skipped.
 

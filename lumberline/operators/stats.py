@@ -167,7 +167,7 @@ def top_messages(lines: DataFrame, k: int = TOP_MESSAGES, filtered: bool = False
     moments = winners.select(F.col("first_ms").alias("at")).distinct()
     heads = record_heads(lines, filtered)
     heads = heads.join(F.broadcast(moments), F.col("ts_ms").eqNullSafe(F.col("at")), "left_semi")
-    details = templates(heads).select("template", "level", "example", "first_file", "first_entry")
+    details = templates(heads, filtered).select("template", "level", "example", "first_file", "first_entry")
     found = winners.join(F.broadcast(details), "template")
     return top_k(_with_share(found, lines, filtered), k)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumberline.functions.detect import classify
+from lumberline.operators.extract import extract_fields
 from lumberline.operators.records import assign_records
+from lumberline.plans.blocks import Schema
+from lumberline.session import checkpoint_dir
 
 EXTENSIONS = ("log", "txt")  # fixed values: files a directory scan looks at
 WIDE = {"UTF-16LE": 2, "UTF-16BE": 2, "UTF-32": 4}
@@ -98,6 +103,25 @@ def read_log(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8
     return assign_records(classify(read_lines(spark, paths, encoding)))
 
 
+def ingest_log(
+    spark: SparkSession, paths: str | list[str], table: str, encoding: str = "UTF-8", schema: Schema | None = None,
+    by_date: bool = True,
+) -> DataFrame:
+    """Read log files into a table of lines, once.
+
+    The classified lines are written to the checkpoint folder first.  The text is then read and
+    matched once only: what the blocks carry over needs a few narrow columns of the written lines.
+    """
+    lines = read_lines(spark, paths, encoding)
+    if schema is not None:
+        lines = extract_fields(lines, schema)
+    matched = F.col("fields").isNotNull() if schema is not None else None
+    staged = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    classify(lines, matched).write.parquet(staged)
+    records = assign_records(spark.read.parquet(staged), fields="fields" if schema is not None else None)
+    return store_lines(records, table, by_date)
+
+
 def store_lines(lines: DataFrame, path: str, by_date: bool = True) -> DataFrame:
     """Write the lines of a document as a table and return it.
 

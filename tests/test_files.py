@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from test_detect import GOLDEN
 
 from lumberline.functions.detect import classify
+from lumberline.functions.rules import Rule
+from lumberline.operators.extract import structured_log
+from lumberline.operators.filters import FilterSpec, apply_filters
 from lumberline.operators.records import assign_records, number_lines
+from lumberline.plans.importers import PRESETS
 from lumberline.session import pinned
 from lumberline.sources import files, manifest, sinks
 from lumberline.sources.synth import synth_lines, write_synth_log
@@ -168,3 +172,27 @@ def test_stored_lines(spark, tmp_path, lines_of):
     day = stored.where("log_date = date'2026-07-10'")
     assert "PartitionFilters: [isnotnull(log_date" in day._jdf.queryExecution().toString()
     assert day.count() == 6
+
+
+def test_ingest_equals_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "g.log").write_text("\n".join(GOLDEN))
+    table = files.ingest_log(spark, str(tmp_path / "in"), str(tmp_path / "t"))
+    direct = files.read_log(spark, str(tmp_path / "in"))
+    assert numbered(table, *SHOWN) == numbered(direct, *SHOWN)
+    schema = PRESETS["bracketed"]
+    (tmp_path / "in" / "g.log").write_text("[2026-07-10 09:00:00] [INFO] a\n[2026-07-10 09:00:01] b\n  c\n")
+    table = files.ingest_log(spark, str(tmp_path / "in"), str(tmp_path / "t2"), schema=schema)
+    rows = table.orderBy("line_no").collect()
+    assert [(r["logical_id"], r["level"]) for r in rows] == [(0, 3), (1, 0), (1, 0)]
+    assert [r["fields"] and r["fields"]["Message"] for r in rows] == ["a", "b", None]
+    same = structured_log(files.read_lines(spark, str(tmp_path / "in")), schema).orderBy("line_no").collect()
+    assert [r["logical_id"] for r in same] == [0, 1, 1] and [r["is_plain"] for r in same] == [False] * 3
+
+
+def test_filters_reach_the_scan(spark, tmp_path, lines_of):
+    stored = files.store_lines(assign_records(classify(lines_of(f=GOLDEN))), str(tmp_path / "t"), by_date=False)
+    spec = FilterSpec(levels=["ERROR"], start="2026-07-10 00:00:00", rules=[Rule("x")])
+    plan = apply_filters(stored, spec).select("line_no")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(level,5)" in plan or "In(level" in plan
+    assert "GreaterThanOrEqual(ts_ms" in plan and "own_ms" not in plan.split("ReadSchema")[1]

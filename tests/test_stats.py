@@ -181,6 +181,8 @@ def test_filtered_view_counts_records(lines_of):
     assert (row["records"], row["lines"], row["warn"], row["error"]) == (2, 3, 1, 1)
     assert {r["level"]: r["records"] for r in stats.level_counts(view, filtered=True).collect()} == {4: 1, 5: 1}
     assert stats.templates(view, filtered=True).first()["records"] == 2
+    top = stats.top_messages(view, filtered=True).first()
+    assert (top["template"], top["records"], top["first_entry"], top["share"]) == ("  x", 2, 0, 1.0)
 
 
 def test_text_functions(spark):
