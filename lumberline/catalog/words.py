@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.catalog.base import DOCUMENT_LINES, EVENT_LINES, EVENT_ROWS, NORMALIZE, documents, events, query, sql
+from lumberline.catalog.base import DOCUMENT_LINES, EVENT_ROWS, NORMALIZE, documents, events, query, sql
 from lumberline.functions import text as T
 from lumberline.functions.tokens import token_type
 from lumberline.operators import payloads, records, tokens
@@ -108,5 +108,3 @@ def json_keys(spark: S, sf_dir: str) -> DataFrame:
 def plain_records(spark: S, sf_dir: str) -> DataFrame:
     return records.assemble_records(documents(spark, sf_dir))
 
-
-assert EVENT_LINES

@@ -111,7 +111,8 @@ def structured_log(lines: DataFrame, schema: Schema) -> DataFrame:
     """Lines of a log whose records a schema recognises, in records and with their fields.
 
     A line the schema matches opens a record even if it lacks a time or a level.  Where both are
-    there they decide first, so that the schema is not tried only to find the records.
+    there they decide first, so that the schema is not tried only to find the records.  For lines
+    straight from files use ``read_log`` with a schema.
     """
     found = extract_fields(lines, schema)
     return assign_records(classify(found, F.col("fields").isNotNull()), fields="fields")

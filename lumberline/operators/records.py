@@ -62,7 +62,11 @@ def block_carry(totals: DataFrame) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line_no``, counted from 1 within each file."""
+    """Add ``line_no``, counted from 1 within each file.
+
+    Like ``assign_records`` this reads the lines twice; lines straight from a file scan should be
+    written first (``session.staged``), so that both times have the same blocks.
+    """
     in_block = Window.partitionBy(*KEYS).orderBy("seq")
     numbered = lines.withColumn("_row", F.row_number().over(in_block))
     carry = block_carry(block_totals(lines.select(*KEYS, "seq"), with_records=False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table below the shared checkpoint folder and continue from the table.
+
+    Unlike a checkpoint, what follows reads only the columns it needs.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written rows.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from lumberline.functions.detect import classify
 from lumberline.operators.extract import extract_fields
 from lumberline.operators.records import assign_records
 from lumberline.plans.blocks import Schema
-from lumberline.session import checkpoint_dir
+from lumberline.session import staged
 
 EXTENSIONS = ("log", "txt")  # fixed values: files a directory scan looks at
 WIDE = {"UTF-16LE": 2, "UTF-16BE": 2, "UTF-32": 4}
@@ -34,12 +32,18 @@ def _text(spark: SparkSession, paths: str | list[str], **options: str) -> DataFr
     return spark.read.options(lineSep="\n", recursiveFileLookup="true", **options).text(paths)
 
 
+BLOCK_LINES = 1 << 15  # lines of a block
+
+
 def _keys() -> list:
+    # Row of the scan's partition: the low bits of the generated id.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return [
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
+        # A split starts a block, and so does every so many lines: many small blocks spread evenly over
+        # tasks.  A split has fewer blocks than bytes, so that the next one starts with a larger number.
+        (F.col("_metadata.file_block_start") + F.floor(row / BLOCK_LINES)).alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
-        # Only its order within one block of one scan is used, never its value.
         F.monotonically_increasing_id().alias("seq"),
     ]
 
@@ -70,6 +74,7 @@ def _read_wide(spark: SparkSession, paths: str | list[str], encoding: str) -> Da
     unit = WIDE[encoding]
     newline = F.encode(F.lit("\n"), encoding)
     pieces = _text(spark, paths, encoding=encoding).select(*_keys(), F.col("value").cast("binary").alias("piece"))
+    pieces = staged(pieces, "pieces")  # read twice below
     size = F.octet_length("piece").cast("bigint")
 
     in_block = Window.partitionBy("file_path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,28 +103,29 @@ def _read_wide(spark: SparkSession, paths: str | list[str], encoding: str) -> Da
     )
 
 
-def read_log(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Log files as classified lines in records."""
-    return assign_records(classify(read_lines(spark, paths, encoding)))
+def read_log(
+    spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", schema: Schema | None = None
+) -> DataFrame:
+    """Log files as classified lines in records, with fields if a schema is given.
+
+    The classified lines are written to the checkpoint folder first.  Blocks depend on how a scan
+    is split, which may change while executors come and go; the two steps that number the lines read
+    the written blocks.  The text is read and matched once; what the blocks carry over needs a few narrow
+    columns.
+    """
+    lines, matched = read_lines(spark, paths, encoding), None
+    if schema is not None:
+        lines, matched = extract_fields(lines, schema), F.col("fields").isNotNull()
+    classified = staged(classify(lines, matched), "classified")
+    return assign_records(classified, fields="fields" if schema is not None else None)
 
 
 def ingest_log(
     spark: SparkSession, paths: str | list[str], table: str, encoding: str = "UTF-8", schema: Schema | None = None,
     by_date: bool = True,
 ) -> DataFrame:
-    """Read log files into a table of lines, once.
-
-    The classified lines are written to the checkpoint folder first.  The text is then read and
-    matched once only: what the blocks carry over needs a few narrow columns of the written lines.
-    """
-    lines = read_lines(spark, paths, encoding)
-    if schema is not None:
-        lines = extract_fields(lines, schema)
-    matched = F.col("fields").isNotNull() if schema is not None else None
-    staged = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    classify(lines, matched).write.parquet(staged)
-    records = assign_records(spark.read.parquet(staged), fields="fields" if schema is not None else None)
-    return store_lines(records, table, by_date)
+    """Read log files into a table of lines, once, and return the table."""
+    return store_lines(read_log(spark, paths, encoding, schema), table, by_date)
 
 
 def store_lines(lines: DataFrame, path: str, by_date: bool = True) -> DataFrame:

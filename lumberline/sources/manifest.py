@@ -10,11 +10,12 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.detect import classify
 from lumberline.operators.records import assign_records, last_context
+from lumberline.session import pinned, staged
 
 BOUNDARY_BYTES = 4096      # fixed value: bytes before the old end that must not have changed
 RANGE_BYTES = 64 << 20     # bytes of a new tail that one task reads
@@ -62,8 +63,9 @@ def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _with_fingerprints(files: DataFrame) -> DataFrame:
+    """One row per file, written down: the files may change before it is read again."""
     read = files.mapInPandas(_boundaries, "file_path string, size bigint, consumed bigint, boundary binary")
-    return read.select("file_path", "size", "consumed", F.xxhash64("boundary").alias("fingerprint"))
+    return pinned(read.select("file_path", "size", "consumed", F.xxhash64("boundary").alias("fingerprint")))
 
 
 def capture_manifest(files: DataFrame) -> DataFrame:
@@ -157,7 +159,8 @@ def read_changes(lines: DataFrame, changes: DataFrame) -> DataFrame:
     )
     appended = changes.where(F.col("change") == "appended").select("file_path")
     known = lines.where(~F.coalesce(F.col("provisional"), F.lit(False))).join(appended, "file_path", "left_semi")
-    return assign_records(classify(read_ranges(wanted)), start=last_context(known))
+    fresh = staged(classify(read_ranges(wanted)), "changes")  # read from files that may go on growing
+    return assign_records(fresh, start=last_context(known))
 
 
 def refresh(lines: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:
