@@ -2,6 +2,7 @@ import json
 import time
 
 import pytest
+
 from lumberline.operators import extract
 from lumberline.plans.blocks import Block, Schema, SchemaError, problems, schema_from_json
 from lumberline.plans.importers import PRESETS, schema_from_grok, schema_from_log4j, suggest_schema
