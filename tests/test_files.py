@@ -55,11 +55,11 @@ def test_splits_do_not_matter(spark, tmp_path):
     assert [r[0] for r in results[0]] == list(range(1, 3501))
 
 
-@pytest.mark.parametrize("encoding", ["UTF-16LE", "UTF-16BE"])
+@pytest.mark.parametrize("encoding", ["UTF-16LE", "UTF-16BE", "UTF-32"])
 def test_wide_encodings(spark, tmp_path, encoding):
     # Some characters hold the bytes of a newline, at even and at odd places.
     texts = ["2026-07-10 09:00:00,001 INFO a", "\u0a05\u0100 odd", "\u0400\u0a0a\u000b x", "", "end\u0a00\u0400"] * 40
-    (tmp_path / "w.log").write_bytes(("\ufeff" + "\r\n".join(texts)).encode(encoding))
+    (tmp_path / "w.log").write_bytes(("\ufeff" + "\r\n".join(texts)).encode("UTF-32BE" if encoding == "UTF-32" else encoding))
     for size in ("134217728", "256"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         try:
