@@ -21,18 +21,26 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+#: Graphs of up to so many links are one partition, whose rounds need no exchange.
+SMALL = 200_000
+
+
+def _round(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Write links; how many there are, and a sum that changes with them."""
+    links = staged(links, "links")
+    n, total = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return (links.coalesce(1) if n <= SMALL else links), (n, total)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)``; a component is named by its least node.
 
     Rounds write small tables and end when a round changes nothing, after about the logarithm of the
     longest path.
     """
-    links = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = sign(links)
+    links, before = _round(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while before[0]:
-        links = staged(_star(_star(links, True), False), "links")
-        after = sign(links)
+        links, after = _round(_star(_star(links, True), False))
         if after == before:
             break
         before = after

@@ -9,9 +9,9 @@ agree on a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are joined by bands of coordinates: at similarity 0.8, 32 bands of five miss a pair with a
 chance of 3e-6.  Texts are joined once per distinct text.  In a bucket each text is compared with
-the least one, then with others while the bucket holds several classes, and in the end all texts of
-different classes are compared, so that no link between classes is lost and no
-bucket inside one class is expanded into pairs.  Every link is verified on the exact multisets.
+the least one; where a bucket then still holds several classes, all texts of different classes that
+can be alike are compared.  So no link between classes is lost, and no class is expanded into pairs.
+Every link is verified on the exact multisets.
 
 Nulls: null texts, and texts without words unless equal, are alone in their class; a null id makes a
 class without a name if it is alone.  Very long texts are whole rows.  Repeated rows are copies of
@@ -147,9 +147,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, a, b = 0, batch.column("x"), batch.column("y")
-            near = [weighted_jaccard(x.as_buffer(), y.as_buffer()) >= similarity for x, y in zip(a, b, strict=True)]
-            del at
+            pairs = zip(batch.column("x"), batch.column("y"), strict=True)
+            near = [weighted_jaccard(x.as_buffer(), y.as_buffer()) >= similarity for x, y in pairs]
             mask = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -159,10 +158,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sized.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _own_units(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, own)``: how many units of a text's shingles occur in no other of the nodes."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.append(0, np.cumsum([len(x.as_buffer()) // 8 for x in batch.column("shingles")]))
+            every = np.frombuffer(b"".join(x.as_py() for x in batch.column("shingles")), np.int64)
+            node = np.repeat(np.asarray(batch.column("node")), np.diff(ends))
+            first = np.flatnonzero(np.append(True, (every[1:] != every[:-1]) | (node[1:] != node[:-1]))) if len(every) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every[first]), pa.array(node[first]), pa.array(np.diff(np.append(first, len(every))))], names=["shingle", "node", "n"])
+
+    listed = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(units, "shingle bigint, node bigint, n bigint")
+    alone = listed.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n")).where("node = other")
+    return alone.groupBy("node").agg(F.sum("n").alias("own"))
+
+
+def _pairs_between_classes(members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Pairs of one bucket but different classes that may still be links; none if all buckets hold one class.
+
+    Units that no other text has cannot be shared.  Two texts share at most the lesser of the rest of
+    them, which bounds their similarity: most texts that are unlike the middle of their group are
+    unlike everything else as well, and are sorted out by this arithmetic alone.
+    """
+    of = members.join(label, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("class"))
+    per_class = of.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    state = per_class.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("main"))
+    # In a bucket of two the only pair has been compared.
+    left = staged(of.join(state.where("classes > 1 and n > 2").select("bucket", "main"), "bucket"), "open-buckets")
+    if left.isEmpty():
+        return None
+    own = _own_units(left.select("node").distinct(), sets)
+    cored = staged(left.join(own, "node", "left").withColumn("core", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own"), "open-buckets")
+    x = cored.where("class <> main").select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("core").alias("oa"), F.col("class").alias("ca"))
+    y = cored.select("bucket", "main", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("core").alias("ob"), F.col("class").alias("cb"))
+    shared = F.least("oa", "ob")
+    possible = shared * F.lit(1 + similarity) >= (F.col("wa") + F.col("wb")) * F.lit(similarity) - F.lit(1e-6)
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb")))
+    met = x.withColumnRenamed("bucket", "__bucket").join(y, (F.col("__bucket") == F.col("bucket")) & once & possible)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
-    df: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-    bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = 3, pairs_per_text: int = 8,
-) -> DataFrame:
+    df: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS
+) -> DataFrame:
     """``(doc_id, class_id, text_key, kept)``: the class of each row is named by its least id; one row per class is kept."""
     source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = source.withColumn("text_key", F.md5(F.col("text").cast("binary"))).withColumn("tag", F.monotonically_increasing_id())
@@ -189,38 +228,15 @@ def near_duplicates(
     made = annotate(texts, [("shingles", "binary")], lambda: _shingle_sets, carry=("node", "w"))
     sets = staged(made.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("w").alias("weight")), "shingle-sets")
 
-    pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    tried = staged(pairs, "pairs")
+    tried = staged(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = staged(_verified(tried, sets, similarity), "links")
-    bound = pairs_per_text * max(1, nodes.count())
-    for turn in range(rounds + 1):
-        label = components(links)
-        of = members.select("bucket", "node", "weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # Buckets that still hold several classes.
-        per_class = of.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n"))
-        mixed_ = per_class.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("classes")).where("classes > 1")
-        left = staged(of.join(mixed_.select("bucket", "all", "inside"), "bucket"), "open-buckets")
-        cross = left.agg(F.sum((F.col("all") * F.col("all") - F.col("inside")) / (2 * F.col("all")))).first()[0] or 0
-        if not cross:
-            break
-        x = left.select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("component").alias("ca"))
-        if turn < rounds and cross > bound:
-            center = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "weight", "component")).alias("c")
-            y = left.groupBy("bucket").agg(center).select("bucket", F.col("c.node").alias("b"), F.col("c.weight").alias("wb"), F.col("c.component").alias("cb"))
-            met = x.join(y, "bucket").where("ca <> cb")
-        else:
-            y = left.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("component").alias("cb"))
-            met = x.join(y, "bucket").where("ca < cb")
-        near = met.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(similarity))
-        new = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        last = turn == rounds or cross <= bound
-        more = staged(new.join(known, ["a", "b"], "left_anti"), "pairs")
-        links = staged(links.union(_verified(more, sets, similarity)), "links")
-        if last:
-            label = components(links)
-            break
-        tried = staged(tried.union(more), "tried")
+    label = components(links)
+    met = _pairs_between_classes(members, label, sets, similarity)
+    if met is not None:
+        more = staged(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = staged(_verified(more, sets, similarity), "links")
+        if not found.isEmpty():
+            label = components(links.union(found))
     named = nodes.select("key", "n", F.col("head.t").alias("node"), "head").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("head").alias("first"))
     classes = named.join(firsts, "component").select("key", F.col("n"), F.col("first.d").alias("class_id"), F.col("first.t").alias("kept_tag"))

@@ -37,9 +37,13 @@ def _range_of(bounds: list[tuple], id_type: str) -> Column:
 def _sampled(rows: DataFrame, pieces: dict[int, tuple[int, int]], draws: int) -> list[tuple]:
     """Quantiles of size-weighted draws, for each range in ``pieces`` (its bytes, the pieces wanted)."""
     spark = rows.sparkSession
-    plan = spark.createDataFrame([(k, float(n * draws) / b, n) for k, (b, n) in pieces.items()], "part int, rate double, n int")
+    plan = [(k, float(n * draws) / b, n) for k, (b, n) in pieces.items()]
+    if len(plan) == 1:
+        wanted = rows.where(F.col("part") == plan[0][0]).withColumns({"rate": F.lit(plan[0][1]), "n": F.lit(plan[0][2])})
+    else:
+        wanted = rows.join(F.broadcast(spark.createDataFrame(plan, "part int, rate double, n int")), "part")
     chance = F.pmod(F.xxhash64("h", "d", "t", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.join(F.broadcast(plan), "part").where(chance < F.col("size") * F.col("rate"))
+    drawn = wanted.where(chance < F.col("size") * F.col("rate"))
     weight = F.greatest(F.lit(1.0), F.col("size") * F.col("rate"))
     by_part = Window.partitionBy("part")
     running = by_part.orderBy("h", "d", "t").rowsBetween(Window.unboundedPreceding, -1)
