@@ -9,8 +9,8 @@ agree on a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are joined by bands of coordinates: at similarity 0.8, 32 bands of five miss a pair with a
 chance of 3e-6.  Texts are joined once per distinct text.  In a bucket each text is compared with
-the least one; where a bucket then still holds several classes, all texts of different classes that
-can be alike are compared.  So no link between classes is lost, and no class is expanded into pairs.
+the least one; where a bucket then still holds several classes, with the one nearest to the others,
+and in the end all texts of different classes that can be alike are compared.  So no link between classes is lost, and no class is expanded into pairs.
 Every link is verified on the exact multisets.
 
 Nulls: null texts, and texts without words unless equal, are alone in their class; a null id makes a
@@ -25,7 +25,7 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.llm.common import Words, annotate, lookup, mixed, staged
@@ -174,31 +174,52 @@ def _own_units(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.sum("n").alias("own"))
 
 
-def _pairs_between_classes(members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """Pairs of one bucket but different classes that may still be links; none if all buckets hold one class.
+def _open_buckets(members: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of buckets with several classes and more than the one compared pair: ``(bucket, node, weight, buckets, core)``.
 
-    Units that no other text has cannot be shared.  Two texts share at most the lesser of the rest of
-    them, which bounds their similarity: most texts that are unlike the middle of their group are
-    unlike everything else as well, and are sorted out by this arithmetic alone.
+    ``core`` leaves out the units of a text that no other of these texts has; two texts share at most
+    the lesser core.
     """
-    of = members.join(label, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("class"))
-    per_class = of.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    state = per_class.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("main"))
-    # In a bucket of two the only pair has been compared.
-    left = staged(of.join(state.where("classes > 1 and n > 2").select("bucket", "main"), "bucket"), "open-buckets")
-    if left.isEmpty():
-        return None
-    own = _own_units(left.select("node").distinct(), sets)
-    cored = staged(left.join(own, "node", "left").withColumn("core", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own"), "open-buckets")
-    x = cored.where("class <> main").select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("core").alias("oa"), F.col("class").alias("ca"))
-    y = cored.select("bucket", "main", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("core").alias("ob"), F.col("class").alias("cb"))
-    shared = F.least("oa", "ob")
-    possible = shared * F.lit(1 + similarity) >= (F.col("wa") + F.col("wb")) * F.lit(similarity) - F.lit(1e-6)
-    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb")))
-    met = x.withColumnRenamed("bucket", "__bucket").join(y, (F.col("__bucket") == F.col("bucket")) & once & possible)
+    state = _classed(members, label).groupBy("bucket").agg(F.count("*").alias("n"), (F.min("class") != F.max("class")).alias("open"))
+    left = staged(members.select("bucket", "node", "weight").join(state.where("open and n > 2").select("bucket"), "bucket"), "open-buckets")
+    # At most as many buckets per text as there are bands.
+    facts = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(_own_units(left.select("node").distinct(), sets), "node", "left")
+    return staged(left.join(facts, "node").withColumn("core", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own"), "open-buckets")
+
+
+def _classed(members: DataFrame, label: DataFrame) -> DataFrame:
+    return members.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+
+
+def _pairs_between_classes(cored: DataFrame, label: DataFrame, similarity: float, with_middle: bool) -> DataFrame:
+    """Pairs of one bucket but different classes that can still be links: with the text nearest to all others, or all.
+
+    The bound of the cores sorts out most texts that are unlike the middle of their group, since these
+    are unlike everything else as well.
+    """
+    of = _classed(cored, label)
+    per_class = of.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(1 - F.col("core") / F.col("weight"), "node", "weight", "core", "class")).alias("middle"))
+    state = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("main"), F.min("middle").alias("middle")).where("classes > 1")
+    left = of.join(state.drop("classes"), "bucket")
+    if with_middle:
+        side = lambda c: F.col(f"middle.{c}")
+        met = left.select("node", "weight", "core", "class", side("node").alias("b"), side("weight").alias("wb"), side("core").alias("ob"), side("class").alias("cb"))
+        met = met.withColumnsRenamed({"node": "a", "weight": "wa", "core": "oa", "class": "ca"}).where("ca <> cb").where(_possible(similarity))
+    else:
+        x = left.where("class <> main").select(F.col("bucket").alias("__bucket"), F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("core").alias("oa"), F.col("class").alias("ca"), F.col("buckets").alias("ba"))
+        y = left.select("bucket", "main", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("core").alias("ob"), F.col("class").alias("cb"), F.col("buckets").alias("bb"))
+        # A pair that shares several buckets is met in the first of them.
+        first = F.array_min(F.array_intersect("ba", "bb")) == F.col("bucket")
+        once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb")))
+        met = x.join(y, (F.col("__bucket") == F.col("bucket")) & once & _possible(similarity) & first)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _possible(similarity: float) -> Column:
+    shared = F.least("oa", "ob")
+    return shared * F.lit(1 + similarity) >= (F.col("wa") + F.col("wb")) * F.lit(similarity) - F.lit(1e-6)
+
+
 def near_duplicates(
     df: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -231,12 +252,15 @@ def near_duplicates(
     tried = staged(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = staged(_verified(tried, sets, similarity), "links")
     label = components(links)
-    met = _pairs_between_classes(members, label, sets, similarity)
-    if met is not None:
+    cored = _open_buckets(members, sets, label)
+    for with_middle in () if cored.isEmpty() else (True, False):
+        met = _pairs_between_classes(cored, label, similarity, with_middle)
         more = staged(met.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = staged(_verified(more, sets, similarity), "links")
         if not found.isEmpty():
-            label = components(links.union(found))
+            links = links.union(found)
+            label = components(links)
+        tried = tried.union(more)
     named = nodes.select("key", "n", F.col("head.t").alias("node"), "head").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("head").alias("first"))
     classes = named.join(firsts, "component").select("key", F.col("n"), F.col("first.d").alias("class_id"), F.col("first.t").alias("kept_tag"))
