@@ -153,7 +153,7 @@ def pieces(texts: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray, n
 class Cache:
     """Pieces met so far, numbered, with the ids of each; emptied when it has grown to its bound."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 250_000):
         self.encode, self.most = encode, most
         self._clear()
 

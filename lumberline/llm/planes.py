@@ -68,7 +68,7 @@ def _codec(path: str, packed: bytes) -> tuple[Classes, Cache, list[bytes]]:
         return [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)]
 
     special = [t.content.encode("utf-8") for t in tokenizer.get_added_tokens_decoder().values()]
-    return classes, Cache(encode), special
+    return classes, Cache(encode, 1_000_000), special
 
 
 def _documents(batches: Iterator[pa.RecordBatch], path: str, packed: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
