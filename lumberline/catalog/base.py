@@ -137,10 +137,7 @@ br AS (SELECT o_orderkey AS seq, '/logs/orders' || (o_custkey % 3) || '.log' AS
   'customer ' || o_custkey || ' total ' || CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS msg FROM orders),
 brk AS (SELECT *, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS stamp FROM br)"""
 
-NORMALIZE = (
-    r"regexp_replace(substr({0}, 1, 400), '[\p{{L}}\p{{N}}_]*\p{{Nd}}[\p{{L}}\p{{N}}_]*', '#', 'g')"
-    r" || CASE WHEN length({0}) > 400 THEN ' …' ELSE '' END"
-)
+NORMALIZE = r"regexp_replace({0}, '[\p{{L}}\p{{N}}_]*\p{{Nd}}[\p{{L}}\p{{N}}_]*', '#', 'g')"
 
 
 def sql(select: str, base: str = EVENT_LINES) -> str:

@@ -57,7 +57,7 @@ def peak(spark: S, sf_dir: str) -> DataFrame:
 _ORDER = "row(ts_ms IS NULL, coalesce(ts_ms, 0), file_path, logical_id, line_no)"
 _TEMPLATES = f"""
 tpl AS (SELECT {NORMALIZE.format('text')} AS template, count(*) AS records, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms,
-  arg_min(level, {_ORDER}) AS level, arg_min(substr(text, 1, 240), {_ORDER}) AS example,
+  arg_min(level, {_ORDER}) AS level, arg_min(text, {_ORDER}) AS example,
   arg_min(file_path, {_ORDER}) AS first_file, arg_min(logical_id, {_ORDER}) AS first_entry FROM heads GROUP BY 1)"""
 TEMPLATED = then(EVENT_LINES, _TEMPLATES)
 

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEMPLATE_CHARS = 400  # fixed value: a template describes the first 400 characters of a message
-EXAMPLE_CHARS = 240   # fixed value: length of the example kept with a template
 
+def normalize(text: Column, chars: int | None = None) -> Column:
+    """Template of a whole message: every word with a digit in it becomes ``#``.
 
-def normalize(text: Column, chars: int | None = TEMPLATE_CHARS) -> Column:
-    """Template of a message: every word with a digit in it becomes ``#``.
-
-    ``chars=None`` builds the template from the whole message.
+    ``chars`` shortens the message first, for a display; what is counted is never shortened.
     """
     # Tried at the start of a word only, and without going back: each character is looked at once.
     pattern = r"(?<![\p{L}\p{N}_])[[\p{L}\p{N}_]&&[^\p{Nd}]]*+\p{Nd}[\p{L}\p{N}_]*+"

@@ -239,7 +239,8 @@ def typed_fields(lines: DataFrame, schema: Schema, fields: str = "fields") -> Da
         if block.kind == "integer":
             value = value.try_cast("bigint")
         elif block.kind == "hex":
-            value = F.conv(F.regexp_replace(value, "^0[xX]", ""), 16, 10).try_cast("decimal(20,0)")
+            digits = F.regexp_extract(value, "^(?:0[xX])?0*([0-9A-Fa-f]{1,16})$", 1)  # more do not fit 64 bits
+            value = F.when(digits != "", F.conv(digits, 16, 10)).try_cast("decimal(20,0)")
         elif block.kind == "timestamp":
             lines = with_timestamp(lines.withColumn("_value", value), "_value", f"_ms{at}")
             value = ms_to_ntz(F.col(f"_ms{at}"))

@@ -64,6 +64,8 @@ def match_spans(lines: DataFrame, patterns: list[Rule]) -> DataFrame:
 def match_counts(lines: DataFrame, patterns: list[Rule]) -> DataFrame:
     """Lines with a match and number of matches, per pattern."""
     active = _active(patterns)
+    if not active:
+        return lines.sparkSession.createDataFrame([], "pattern int, text string, lines bigint, matches bigint")
     aggs = []
     for i, pattern in active:
         rx = pattern_regex(pattern)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.functions.detect import ERROR, FATAL, WARN, level_name
-from lumberline.functions.text import EXAMPLE_CHARS, normalize
+from lumberline.functions.text import normalize
 from lumberline.operators.order import position
 from lumberline.operators.records import record_heads, record_key
 from lumberline.session import pinned
@@ -131,11 +131,18 @@ def template_counts(lines: DataFrame, filtered: bool = False) -> DataFrame:
     )
 
 
-def templates(lines: DataFrame, filtered: bool = False) -> DataFrame:
-    """All message templates: count, time range, and level, text and place of the first message."""
-    first = F.struct("level", F.left("text", F.lit(EXAMPLE_CHARS)).alias("example"), "file_path", "logical_id")
+def templates(lines: DataFrame, filtered: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """All message templates: count, time range, and level, text and place of the first message.
+
+    ``only`` is a bounded table ``(template, at)``: just the messages of these templates at these times.
+    """
+    rows = _template_rows(lines, filtered)
+    if only is not None:
+        wanted = only.withColumnRenamed("template", "_wanted")
+        rows = rows.join(F.broadcast(wanted), (F.col("template") == F.col("_wanted")) & F.col("ts_ms").eqNullSafe(F.col("at")), "left_semi")
+    first = F.struct("level", F.col("text").alias("example"), "file_path", "logical_id")
     return (
-        _template_rows(lines, filtered).groupBy("template")
+        rows.groupBy("template")
         .agg(
             F.count(F.lit(1)).alias("records"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
             F.min_by(first, position()).alias("first"),
@@ -164,10 +171,9 @@ def top_messages(lines: DataFrame, k: int = TOP_MESSAGES, filtered: bool = False
     that the second pass reads texts for those few moments alone.
     """
     winners = pinned(top_k(template_counts(lines, filtered), k))  # at most ``k`` rows, read twice
-    moments = winners.select(F.col("first_ms").alias("at")).distinct()
-    heads = record_heads(lines, filtered)
-    heads = heads.join(F.broadcast(moments), F.col("ts_ms").eqNullSafe(F.col("at")), "left_semi")
-    details = templates(heads, filtered).select("template", "level", "example", "first_file", "first_entry")
+    heads = winners.select("template", F.col("first_ms").alias("at"))
+    # One row per winner.
+    details = templates(lines, filtered, heads).select("template", "level", "example", "first_file", "first_entry")
     found = winners.join(F.broadcast(details), "template")
     return top_k(_with_share(found, lines, filtered), k)
 

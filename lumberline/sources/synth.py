@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.detect import ms_text
 
-START_MS = 1_783_674_000_000  # 2026-07-10 09:00:00
-# Levels and their weights in a thousand.
-WEIGHTS = {"TRACE": 15, "DEBUG": 150, "INFO": 700, "WARN": 80, "ERROR": 50, "FATAL": 5}
+START_MS = 1_750_002_345_000  # 2025-06-15 15:45:45
+WEIGHTS = {"TRACE": 40, "DEBUG": 210, "INFO": 560, "WARN": 120, "ERROR": 60, "FATAL": 10}  # in a thousand
 
-_COMPONENTS = ["engine.core", "net.gateway", "db.session", "auth", "cache", "scheduler"]
+_COMPONENTS = ["ferry.dock", "tide.table", "lantern", "harbour.crane", "ledger"]
 _MESSAGES = [
-    "request {a} served in {b} ms", "connection from 10.0.{c}.{d}:{a} accepted", "cache holds {a} of {b} entries",
-    "пакет №{a} обработан за {b} мс", "retry {c} after {b} ms", "task #{a} taken from queue of {b}",
-]
-_FAILURES = [
-    "timeout after {b} ms waiting for db.session", "handle {a} refused: access denied",
-    "Ошибка записи в сегмент {a}", "checksum of chunk {a} does not match",
+    "crane lifted {a} crates, {b} remain", "tide gauge {c} reads {d} cm", "ledger page {a} closed with {b} entries",
+    "паром {c} отошёл с {b} пассажирами", "lamp {d} dimmed to {c}",
 ]
+_FAILURES = ["berth {c} is taken by ferry {d}", "crate {a} lost overboard", "Канат {d} оборван"]
 BLOCK_RECORDS = 1 << 14
 
 
@@ -65,9 +61,9 @@ def synth_lines(
     depth = F.when(_draw(seed, "deep", 100) < multiline_percent, 2 + _draw(seed, "depth", 5)).otherwise(0)
     frames = F.transform(
         F.sequence(F.lit(1), depth.cast("int")),
-        lambda k: F.concat(F.lit("    at app.module.Worker.run(Worker.java:"), (k * 17).cast("string"), F.lit(")")),
+        lambda k: F.concat(F.lit("    at harbour.Crane.lift(Crane.java:"), (k * 17).cast("string"), F.lit(")")),
     )
-    more = F.when(depth > 0, F.concat(F.array(F.concat(F.lit("app.ProcessingException: "), F.col("message"))), frames))
+    more = F.when(depth > 0, F.concat(F.array(F.concat(F.lit("harbour.CargoException: "), F.col("message"))), frames))
     lines = F.concat(F.array(first), F.coalesce(more, F.array().cast("array<string>")))
     return head.select(
         F.lit(file_path).alias("file_path"), F.floor(F.col("id") / BLOCK_RECORDS).alias("block"),
