@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 
 def merge_logs(*logs: DataFrame) -> DataFrame:
-    """One document out of several; a file that is in more than one of them counts once.
+    """One document out of several; a file that is in more than one of them counts in the first of them.
 
-    The file list of a log is small (one row per file), so the anti-join runs as a broadcast
-    unless Spark finds the list too large.
+    Each log is read twice, once for its files only.  The file list is small (one row per file), so the
+    semi-join runs as a broadcast unless Spark finds the list too large.
     """
-
-    def add(document: DataFrame, log: DataFrame) -> DataFrame:
-        known = document.select("file_path").distinct()
-        return document.unionByName(log.join(known, "file_path", "left_anti"), allowMissingColumns=True)
-
-    return reduce(add, logs)
+    if len(logs) == 1:
+        return logs[0]
+    numbered = [log.withColumn("_log", F.lit(i)) for i, log in enumerate(logs)]
+    files = reduce(DataFrame.union, [log.select("file_path", "_log") for log in numbered])
+    owner = files.groupBy("file_path").agg(F.min("_log").alias("_log"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    return every.join(owner, ["file_path", "_log"], "left_semi").select(*[f"`{c}`" for c in every.columns if c != "_log"])
 
 
 def drop_file(lines: DataFrame, path: str) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.detect import LEVELS
 from lumberline.functions.rules import Rule, rules_to_column
-from lumberline.operators.order import time_range, with_row_no
+from lumberline.operators.order import POSITION, time_range, with_row_no
 
 Moment = int | str | datetime | None
+DAY_MS = 86_400_000
 
 
 def to_ms(moment: Moment) -> int | None:
@@ -68,9 +69,23 @@ def filter_time(lines: DataFrame, start: Moment = None, end: Moment = None, pick
             F.lit(to_ms(end)) >= span.select("to_ms").scalar()
         )
         condition = F.coalesce(covered, F.lit(False)) | condition
+    elif dict(lines.dtypes).get("log_date") == "date":
+        condition = days_condition(start, end) & condition
     return lines.where(condition)
 
 
+def days_condition(start: Moment, end: Moment) -> Column:
+    """The days of a table by ``log_date`` that a time range can touch; lines without time have no day."""
+    day, condition = F.col("log_date"), F.lit(True)
+    first, last = (None if m is None else date(1970, 1, 1).toordinal() + m // DAY_MS for m in (to_ms(start), to_ms(end)))
+    if first is not None and 1 <= first <= date.max.toordinal():
+        condition = condition & (day >= F.lit(date.fromordinal(first)))
+    if last is not None and 1 <= last <= date.max.toordinal():
+        early = day <= F.lit(date.fromordinal(last))
+        condition = condition & (early if start is not None else early | day.isNull())
+    return condition
+
+
 def field_columns(lines: DataFrame, fields: str = "fields") -> dict[str, Column]:
     """The extracted fields by name, for rules bound to a field."""
     if fields not in lines.columns:
@@ -107,4 +122,8 @@ def search(view: DataFrame, rules: list[Rule], field_scope: bool = False) -> Dat
     Unlike a filter, a search without a usable rule finds nothing.
     """
     condition = rules_to_column(rules, F.col("text"), field_columns(view) if field_scope else None)
-    return with_row_no(view).where(F.lit(False) if condition is None else condition)
+    found = F.lit(False) if condition is None else condition
+    # All positions are sorted, but only hits take their columns along.
+    row = F.struct(*[F.col(f"`{c}`") for c in view.columns if c != "row_no"])
+    numbered = with_row_no(view.select(*POSITION, F.when(found, row).alias("_hit")))
+    return numbered.where("_hit is not null").select("_hit.*", "row_no")

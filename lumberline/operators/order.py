@@ -11,6 +11,7 @@ from lumberline.session import pinned
 
 POSITION = ["ts_ms", "file_path", "logical_id", "line_no"]
 HOUR_MS = 3_600_000
+MOST_OFFSETS = 200_000  # partitions whose offsets are broadcast, a few megabytes
 
 
 def order_columns() -> list[Column]:
@@ -39,8 +40,10 @@ def with_row_no(lines: DataFrame) -> DataFrame:
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.select("_part", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # One narrow row per partition of the sort; so few need no second shuffle of the rows.
+    few = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= MOST_OFFSETS
     return (
-        parts.join(offsets, "_part")
+        parts.join(F.broadcast(offsets) if few else offsets, "_part")
         .withColumn("row_no", F.col("_at") - F.col("_from") + F.col("_before"))
         .drop("_part", "_at", "_from", "_before")
     )

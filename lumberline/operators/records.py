@@ -177,17 +177,16 @@ def assemble_records(
 ) -> DataFrame:
     """Text of each record: its lines joined by newlines, up to the size a record is shown with.
 
-    ``truncated`` says that a record goes on.  Spark prunes each task to the first lines of every
-    record before the shuffle, so that one endless record cannot fill a task; lines of free text are
-    records of their own and are not grouped at all.
+    ``truncated`` says that a record goes on; ``n_lines`` counts all its lines.  One task sorts the lines
+    of a record, on disk if need be, and keeps no more than ``max_lines`` of them; lines of free text
+    are records of their own and are not grouped at all.
     """
     order = Window.partitionBy("file_path", "logical_id").orderBy("line_no")
     ranked = lines.where(~F.col("is_plain")).withColumn("_rank", F.row_number().over(order))
-    first = ranked.where(F.col("_rank") <= max_lines + 1)
     shown = F.when(F.col("_rank") <= max_lines, F.struct("line_no", "text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["text"]), "\n")
-    grouped = first.groupBy("file_path", "logical_id").agg(
-        F.min("line_no").alias("first_line"), F.count(shown).alias("n_lines"),
+    grouped = ranked.groupBy("file_path", "logical_id").agg(
+        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"),
         F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), joined.alias("text"),
         (F.max("_rank") > max_lines).alias("_more"),
     )

@@ -51,13 +51,11 @@ def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, size, at in zip(batch["file_path"], batch["size"], batch["at"]):
-            try:
-                with _open(_uri(path)) as handle:
-                    end = _line_end(handle, int(size)) if pd.isna(at) else int(at)
-                    start = max(0, end - BOUNDARY_BYTES)
-                    boundary = handle.read_at(end - start, start) if end <= size else None
-            except OSError:
-                end, boundary = None, None
+            # A file that cannot be read fails the task: taken for a new one it would be loaded twice.
+            with _open(_uri(path)) as handle:
+                end = _line_end(handle, int(size)) if pd.isna(at) else int(at)
+                start = max(0, end - BOUNDARY_BYTES)
+                boundary = handle.read_at(end - start, start) if end <= size else None
             rows.append((path, size, end, boundary))
         yield pd.DataFrame(rows, columns=["file_path", "size", "consumed", "boundary"], dtype=object)
 
@@ -93,14 +91,16 @@ def change_kind() -> Column:
         .when(F.col("size").isNull(), "missing")
         .when(F.col("size") < F.col("consumed"), "replaced")
         .when(~F.col("fingerprint").eqNullSafe(F.col("now")), "replaced")
-        .when(F.col("size") > F.col("consumed"), "appended")
+        # An open last line lies behind what was consumed; it is no news until the file grows.
+        .when((F.col("size") > F.col("consumed")) & ~F.col("size").eqNullSafe(F.col("old_size")), "appended")
         .otherwise("unchanged")
     )
 
 
 def diff_manifest(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Each file of either state with its change: unchanged, appended, replaced, missing, new."""
-    old = previous.select("file_path", "consumed", "fingerprint")
+    size = F.col("size") if "size" in previous.columns else F.lit(None).cast("bigint")
+    old = previous.select("file_path", "consumed", "fingerprint", size.alias("old_size"))
     new = current.select("file_path", "size", F.col("fingerprint").alias("now"))
     return old.join(new, "file_path", "full_outer").select("file_path", "consumed", "size", change_kind().alias("change"))
 
@@ -167,8 +167,9 @@ def refresh(lines: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame
     """The document after its files changed: old rows of replaced and missing files go, fresh rows come.
 
     The unfinished last line of an appended file was read again with its end, so it goes as well.
+    Rows that the document already has of a new file go too, so that no file is in it twice.
     """
-    gone = changes.where(F.col("change").isin("replaced", "missing")).select("file_path")
+    gone = changes.where(F.col("change").isin("new", "replaced", "missing")).select("file_path")
     grown = changes.where(F.col("change") == "appended").select("file_path", F.lit(True).alias("grown"))
     kept = lines.join(gone, "file_path", "left_anti").join(grown, "file_path", "left")
     unfinished = F.coalesce(F.col("grown") & F.col("provisional"), F.lit(False))

@@ -7,7 +7,7 @@ from test_detect import GOLDEN
 from lumberline.functions.detect import classify
 from lumberline.functions.rules import Rule
 from lumberline.operators.extract import structured_log
-from lumberline.operators.filters import FilterSpec, apply_filters
+from lumberline.operators.filters import FilterSpec, apply_filters, filter_time
 from lumberline.operators.records import assign_records, number_lines
 from lumberline.plans.importers import PRESETS
 from lumberline.session import pinned
@@ -122,6 +122,22 @@ def test_refresh_equals_fresh_load(spark, tmp_path):
     assert log.where(F.col("file_path").endswith("grown.log")).count() == 2
 
 
+def test_open_lines_failed_reads_and_known_files(spark, tmp_path):
+    (tmp_path / "open.log").write_text("2026-07-10 12:00:00 INFO a\nhalf")
+    listing = files.discover_logs(spark, str(tmp_path))
+    before = manifest.capture_manifest(listing)
+    log = pinned(files.read_log(spark, str(tmp_path)))
+    changes = manifest.diff_manifest(before, manifest.current_state(listing, before))
+    assert [r["change"] for r in changes.collect()] == ["unchanged"]
+    # A file whose manifest row was lost is new, but its rows are there already.
+    changes = pinned(manifest.diff_manifest(before.where("false"), manifest.current_state(listing, before.where("false"))))
+    assert [r["change"] for r in changes.collect()] == ["new"]
+    assert manifest.refresh(log, changes, manifest.read_changes(log, changes)).count() == 2
+    gone = spark.createDataFrame([(f"file:{tmp_path}/none.log", 5)], "file_path string, file_size bigint")
+    with pytest.raises(Exception):
+        manifest.capture_manifest(gone)
+
+
 def test_ranges_read_every_line_once(spark, tmp_path):
     texts = ["x" * (i % 17) for i in range(60)]
     (tmp_path / "r.log").write_text("\n".join(texts))
@@ -196,3 +212,14 @@ def test_filters_reach_the_scan(spark, tmp_path, lines_of):
     plan = apply_filters(stored, spec).select("line_no")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(level,5)" in plan or "In(level" in plan
     assert "GreaterThanOrEqual(ts_ms" in plan and "own_ms" not in plan.split("ReadSchema")[1]
+
+
+def test_time_filters_prune_days(spark, tmp_path, lines_of):
+    stored = files.store_lines(assign_records(classify(lines_of(f=GOLDEN))), str(tmp_path / "t"))
+    day = "2026-07-10 00:00:00"
+    for bounds in ({"start": day}, {"end": day}, {"start": day, "end": "2026-07-10 23:59:59"}, {"start": 0, "end": 1}, {"start": -(10**17)}):
+        kept = filter_time(stored, **bounds)
+        if bounds.get("start") != -(10**17):
+            assert "log_date" in kept._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        plain = filter_time(stored.withColumnRenamed("log_date", "d"), **bounds)
+        assert sorted(r["line_no"] for r in kept.collect()) == sorted(r["line_no"] for r in plain.collect())

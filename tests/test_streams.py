@@ -114,6 +114,18 @@ def test_live_timeline(spark, tmp_path, stored):
     assert [(r["total"], r["warn"], r["error"]) for r in rows] == [(4, 0, 2), (2, 2, 0), (2, 0, 0)]
 
 
+def test_late_records_count(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp, level int"
+    for times in (["2026-07-10 09:00:00", "2026-07-10 15:00:00"], ["2026-07-10 16:00:00"], ["2026-07-10 09:00:30", "2026-07-09 01:00:00"]):
+        rows = spark.createDataFrame([(t, 5) for t in times], "t string, level int")
+        rows.select(F.col("t").cast("timestamp").alias("ts"), "level").write.mode("append").parquet(inbox)
+        heads = spark.readStream.schema(schema).parquet(inbox)
+        live.write_updates(live.stream_timeline(heads), out, ["window_start"], availableNow=True).awaitTermination()
+    found = live.latest_updates(spark, out, ["window_start"]).orderBy("window_start").collect()
+    assert [r["total"] for r in found] == [1, 2, 1, 1] == [r["error"] for r in found]
+
+
 def test_live_statistics(spark, tmp_path, stored):
     _, stream = stored
     folder = str(tmp_path / "s")

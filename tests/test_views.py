@@ -202,11 +202,18 @@ def test_endless_record_is_cut(lines_of):
     texts = ["2026-07-10 09:00:00 INFO a"] + [f"line {i}" for i in range(30)]
     record = assign_records(classify(lines_of(4, f=texts)))
     row = assemble_records(record, max_lines=5).first()
-    assert row["text"].split("\n") == texts[:5] and row["truncated"] and row["n_lines"] == 5
+    assert row["text"].split("\n") == texts[:5] and row["truncated"] and row["n_lines"] == 31
     assert not assemble_records(record).first()["truncated"]
     assert assemble_records(record, max_chars=10).first()["text"] == "2026-07-10"
 
 
+def test_long_record_counts_all_its_lines(lines_of):
+    texts = ["2026-07-10 09:00:00 INFO a"] + [f"line {i}" for i in range(4999)]
+    record = assign_records(classify(lines_of(4, f=texts)))
+    row = assemble_records(record).first()
+    assert row["n_lines"] == 5000 == record_headers(record).first()["n_lines"] and row["truncated"]
+
+
 def test_record_fields_and_new_rows(spark):
     schema = "file_path string, logical_id bigint, line_no bigint, is_plain boolean, ingest_batch int, fields struct<a: string>"
     frame = spark.createDataFrame([("f", 1, 1, False, 1, None), ("f", 1, 2, False, 2, ("x",)), ("f", 1, 3, False, 2, ("y",))], schema)
@@ -216,7 +223,11 @@ def test_record_fields_and_new_rows(spark):
 
 def test_documents(log, rows):
     merged = merge_logs(log, log, log.where("file_path = 'a'"))
-    assert merged.count() == len(rows)
+    assert merged.count() == len(rows) and merged.columns == log.columns
+    other = log.where("file_path <> 'a'").withColumn("text", F.lit("other")).drop("ts")
+    both = merge_logs(log.where("file_path = 'a'"), other, log)
+    assert both.count() == len(rows)
+    assert both.where("file_path <> 'a' and (text <> 'other' or ts is not null)").count() == 0
     assert keys(drop_file(log, "a")) == keys_of(r for r in rows if r["file_path"] != "a")
     assert source_count(log).first().asDict() == {"files": 3, "badge": True}
 
