@@ -10,8 +10,9 @@ agree on a coordinate with the probability of their weighted Jaccard similarity.
 Signatures are joined by bands of coordinates: at similarity 0.8, 32 bands of five miss a pair with a
 chance of 3e-6.  Texts are joined once per distinct text.  In a bucket each text is compared with
 the least one; where a bucket then still holds several classes, with the one nearest to the others,
-and in the end all texts of different classes that can be alike are compared.  So no link between classes is lost, and no class is expanded into pairs.
-Every link is verified on the exact multisets.
+and in the end all texts of different classes that can be alike are compared.  So no link between classes is
+lost, and no class is expanded into pairs.  Pairs are ruled out only by bounds that hold for every pair:
+units that no other text has, and parities of hashed units.  Every link is verified on the exact multisets.
 
 Nulls: null texts, and texts without words unless equal, are alone in their class; a null id makes a
 class without a name if it is alone.  Very long texts are whole rows.  Repeated rows are copies of
@@ -33,6 +34,8 @@ from lumberline.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
+#: Words of 64 parities that bound from below how many units two texts do not share.
+PARITY_WORDS = 16
 #: Ranks up to 2 ** LOWEST make the first band.
 LOWEST = -4
 _UNIT, _BAND, _DART, _PLACE = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -125,11 +128,16 @@ def _band_hashes(texts: pa.Array, bands: int, band_rows: int) -> list[pa.Array]:
 
 
 def _shingle_sets(texts: pa.Array) -> list[pa.Array]:
+    """The sorted shingles of each text, and the parities of its units: how many hash to each bit, modulo 2."""
     grams, rows = shingles(Words(texts))
     order = np.lexsort((grams, rows))
     ends = np.searchsorted(rows, np.arange(len(texts) + 1)) * 8
     data = grams[order].tobytes()
-    return [pa.array([data[a:b] for a, b in zip(ends.tolist(), ends.tolist()[1:])], pa.binary())]
+    bits, parities = 64 * PARITY_WORDS, np.zeros(len(texts) * PARITY_WORDS, np.uint64)
+    place = rows.astype(np.int64) * bits + (grams % np.uint64(bits)).astype(np.int64)
+    np.bitwise_xor.at(parities, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * PARITY_WORDS, pa.int32()), pa.array(parities.view(np.int64), pa.int64()))
+    return [pa.array([data[a:b] for a, b in zip(ends.tolist(), ends.tolist()[1:])], pa.binary()), lists]
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -159,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _own_units(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, own)``: how many units of a text's shingles occur in no other of the nodes."""
+    """``(node, own, own_parity)``: how many units of a text's shingles occur in no other of the nodes, and their parities."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,20 +179,25 @@ def _own_units(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     listed = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(units, "shingle bigint, node bigint, n bigint")
     alone = listed.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n")).where("node = other")
-    return alone.groupBy("node").agg(F.sum("n").alias("own"))
+    bits = 64 * PARITY_WORDS - 1
+    words = [F.expr(f"bit_xor(if(n % 2 = 1 and shiftright(shingle & {bits}, 6) = {i}, shiftleft(1L, int(shingle & 63)), 0L))") for i in range(PARITY_WORDS)]
+    return alone.groupBy("node").agg(F.sum("n").alias("own"), F.array(*words).alias("own_parity"))
 
 
 def _open_buckets(members: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of buckets with several classes and more than the one compared pair: ``(bucket, node, weight, buckets, core)``.
+    """Members of buckets with several classes and more than the one compared pair: ``(bucket, node, weight, buckets, core, parity)``.
 
     ``core`` leaves out the units of a text that no other of these texts has; two texts share at most
-    the lesser core.
+    the lesser core, and differ in one unit of the core at least wherever their parities differ.
     """
     state = _classed(members, label).groupBy("bucket").agg(F.count("*").alias("n"), (F.min("class") != F.max("class")).alias("open"))
     left = staged(members.select("bucket", "node", "weight").join(state.where("open and n > 2").select("bucket"), "bucket"), "open-buckets")
     # At most as many buckets per text as there are bands.
-    facts = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(_own_units(left.select("node").distinct(), sets), "node", "left")
-    return staged(left.join(facts, "node").withColumn("core", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own"), "open-buckets")
+    facts = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(sets.select("node", "parity"), "node")
+    facts = facts.join(_own_units(left.select("node").distinct(), sets), "node", "left")
+    kept = F.when(F.col("own_parity").isNull(), F.col("parity")).otherwise(F.zip_with("parity", "own_parity", lambda x, y: x.bitwiseXOR(y)))
+    facts = facts.select("node", "buckets", F.coalesce("own", F.lit(0)).alias("own"), kept.alias("parity"))
+    return staged(left.join(facts, "node").withColumn("core", F.col("weight") - F.col("own")).drop("own"), "open-buckets")
 
 
 def _classed(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -194,20 +207,20 @@ def _classed(members: DataFrame, label: DataFrame) -> DataFrame:
 def _pairs_between_classes(cored: DataFrame, label: DataFrame, similarity: float, with_middle: bool) -> DataFrame:
     """Pairs of one bucket but different classes that can still be links: with the text nearest to all others, or all.
 
-    The bound of the cores sorts out most texts that are unlike the middle of their group, since these
+    The bounds of the cores and parities sort out most texts that are unlike the middle of their group, since these
     are unlike everything else as well.
     """
     of = _classed(cored, label)
-    per_class = of.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(1 - F.col("core") / F.col("weight"), "node", "weight", "core", "class")).alias("middle"))
+    per_class = of.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(1 - F.col("core") / F.col("weight"), "node", "weight", "core", "class", "parity")).alias("middle"))
     state = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("main"), F.min("middle").alias("middle")).where("classes > 1")
     left = of.join(state.drop("classes"), "bucket")
     if with_middle:
         side = lambda c: F.col(f"middle.{c}")
-        met = left.select("node", "weight", "core", "class", side("node").alias("b"), side("weight").alias("wb"), side("core").alias("ob"), side("class").alias("cb"))
+        met = left.select("node", "weight", "core", "class", F.col("parity").alias("pa"), *(side(c).alias(n) for c, n in (("node", "b"), ("weight", "wb"), ("core", "ob"), ("class", "cb"), ("parity", "pb"))))
         met = met.withColumnsRenamed({"node": "a", "weight": "wa", "core": "oa", "class": "ca"}).where("ca <> cb").where(_possible(similarity))
     else:
-        x = left.where("class <> main").select(F.col("bucket").alias("__bucket"), F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("core").alias("oa"), F.col("class").alias("ca"), F.col("buckets").alias("ba"))
-        y = left.select("bucket", "main", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("core").alias("ob"), F.col("class").alias("cb"), F.col("buckets").alias("bb"))
+        x = left.where("class <> main").select(F.col("bucket").alias("__bucket"), F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("core").alias("oa"), F.col("class").alias("ca"), F.col("buckets").alias("ba"), F.col("parity").alias("pa"))
+        y = left.select("bucket", "main", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("core").alias("ob"), F.col("class").alias("cb"), F.col("buckets").alias("bb"), F.col("parity").alias("pb"))
         # A pair that shares several buckets is met in the first of them.
         first = F.array_min(F.array_intersect("ba", "bb")) == F.col("bucket")
         once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb")))
@@ -216,8 +229,13 @@ def _pairs_between_classes(cored: DataFrame, label: DataFrame, similarity: float
 
 
 def _possible(similarity: float) -> Column:
-    shared = F.least("oa", "ob")
-    return shared * F.lit(1 + similarity) >= (F.col("wa") + F.col("wb")) * F.lit(similarity) - F.lit(1e-6)
+    """Whether two texts can be that similar, given how many units at least only one of them has."""
+    apart = F.abs(F.col("oa") - F.col("ob"))
+    parities = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    total = F.col("wa") + F.col("wb")
+    most = total * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    own = total - F.col("oa") - F.col("ob")
+    return (own + apart <= most) & (own + parities <= most)
 
 
 def near_duplicates(
@@ -246,8 +264,8 @@ def near_duplicates(
     # The exact multisets of texts that share a bucket, from one row of each text.
     wanted = members.select("node").distinct().join(nodes.select(F.col("head.t").alias("node"), F.col("head.d").alias("d"), "key", "weight"), "node")
     texts = keyed.join(wanted.withColumnRenamed("weight", "w"), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    made = annotate(texts, [("shingles", "binary")], lambda: _shingle_sets, carry=("node", "w"))
-    sets = staged(made.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("w").alias("weight")), "shingle-sets")
+    made = annotate(texts, [("shingles", "binary"), ("parity", "array<bigint>")], lambda: _shingle_sets, carry=("node", "w"))
+    sets = staged(made.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity"), F.first("w").alias("weight")), "shingle-sets")
 
     tried = staged(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = staged(_verified(tried, sets, similarity), "links")

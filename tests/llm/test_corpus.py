@@ -126,6 +126,33 @@ def test_near_duplicates_equal_brute_force(docs):
     assert found == plain_classes(rows)
 
 
+def test_families_around_the_threshold_equal_brute_force(docs):
+    """Texts with repeated passages, of which most pairs are 0.6 to 0.9 alike and share buckets."""
+    draw = random.Random(21)
+    rows = []
+    for _ in range(2):
+        base = words(draw, 90) + ["again and again the same old song"] * 4 + words(draw, 40)
+        for _ in range(45):
+            body = " ".join(base).split()
+            for _ in range(draw.randrange(2, 7)):
+                body[draw.randrange(len(body))] = draw.choice(["left", "right", *words(draw, 1)])
+            rows.append((len(rows), " ".join(body + body[:7] * draw.randrange(2))))
+    found = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(docs(rows)).collect()}
+    assert found == plain_classes(rows)
+
+
+def test_parities_never_exceed_the_difference():
+    draw = random.Random(5)
+    base = words(draw, 300)
+    bodies = [" ".join(w if draw.random() > 0.1 else "x" for w in base) for _ in range(12)] + ["", "one two", "a b c d e " * 30]
+    data, parity = dartminhash._shingle_sets(pa.array(bodies))
+    for i, a in enumerate(bodies):
+        for j, b in enumerate(bodies):
+            apart = sum(((multiset(a) | multiset(b)) - (multiset(a) & multiset(b))).values())
+            bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(parity[i].as_py(), parity[j].as_py()))
+            assert bits <= apart and (bits >= 0.6 * apart or apart > 500)
+
+
 def test_signatures_estimate_weighted_jaccard():
     draw = random.Random(3)
     a = words(draw, 400)
