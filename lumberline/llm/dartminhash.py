@@ -231,7 +231,7 @@ def _pairs_between_classes(cored: DataFrame, label: DataFrame, similarity: float
 def _possible(similarity: float) -> Column:
     """Whether two texts can be that similar, given how many units at least only one of them has."""
     apart = F.abs(F.col("oa") - F.col("ob"))
-    parities = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    parities = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, more: n + more)
     total = F.col("wa") + F.col("wb")
     most = total * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
     own = total - F.col("oa") - F.col("ob")
