@@ -187,7 +187,7 @@ def plain(spark: S, sf_dir: str) -> DataFrame:
   string_agg(text, chr(10) ORDER BY line_no) AS text, false AS truncated FROM lines
   GROUP BY file_path, logical_id, CASE WHEN is_plain THEN line_no ELSE 0 END, ts_ms, level"""))
 def assembled(spark: S, sf_dir: str) -> DataFrame:
-    return records.assemble_records(events(spark, sf_dir))
+    return records.assemble_records(events(spark, sf_dir), max_lines=None, max_chars=None)
 
 
 @query("L10_headers", sql("""SELECT file_path, level, ts_ms, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines,

@@ -96,15 +96,15 @@ def kinds(spark: S, sf_dir: str) -> DataFrame:
 
 @query("J1_json_blocks", sql("SELECT l.file_path, l.line_no AS first_line, 0 AS block_no, st.props AS json FROM lines l JOIN st ON l.file_path = st.f AND l.seq = st.event_id * 4"))
 def json_blocks(spark: S, sf_dir: str) -> DataFrame:
-    return payloads.json_blocks(records.assemble_records(events(spark, sf_dir)))
+    return payloads.line_json_blocks(events(spark, sf_dir))
 
 
 @query("J2_json_keys", r"SELECT 'k' AS key, count(*) AS objects, count(DISTINCT regexp_extract(props, '\d+')) AS distinct_values FROM events")
 def json_keys(spark: S, sf_dir: str) -> DataFrame:
-    return payloads.json_keys(payloads.json_blocks(records.assemble_records(events(spark, sf_dir))))
+    return payloads.json_keys(payloads.line_json_blocks(events(spark, sf_dir)))
 
 
 @query("L9_plain_records", sql("SELECT file_path, logical_id, line_no AS first_line, CAST(1 AS BIGINT) AS n_lines, ts_ms, level, text, false AS truncated FROM lines", DOCUMENT_LINES))
 def plain_records(spark: S, sf_dir: str) -> DataFrame:
-    return records.assemble_records(documents(spark, sf_dir))
+    return records.assemble_records(documents(spark, sf_dir), max_lines=None, max_chars=None)
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,12 @@ def _telling(value: object) -> bool:
     return isinstance(value, list) and (len(value) > 1 or (bool(value) and isinstance(value[0], (dict, list, str))))
 
 
-def find_json(text: str, max_blocks: int | None = None) -> list[str]:
-    """The JSON objects and arrays in a text, from left to right, none inside another."""
+def _scan(text: str, max_blocks: int | None = None, whole: bool = True) -> tuple[list[str], int]:
+    """The blocks of a text, and from where on it must be kept if it is not ``whole`` but goes on.
+
+    A text that goes on ends with a newline, which no JSON token contains: an error before its end is one
+    whatever follows, an error at its end says that a block is still open.
+    """
     found: list[str] = []
     at = 0
     while max_blocks is None or len(found) < max_blocks:
@@ -35,21 +39,57 @@ def find_json(text: str, max_blocks: int | None = None) -> list[str]:
         at = min(starts)
         try:
             value, end = _DECODER.raw_decode(text, at)
-        except (ValueError, RecursionError):
+        except (ValueError, RecursionError) as error:
+            if not whole and isinstance(error, json.JSONDecodeError) and error.pos >= len(text):
+                return found, at
             value, end = None, at + 1
         if _telling(value):
             found.append(text[at:end])
             at = end
         else:
             at += 1
-    return found
+    return found, len(text)
+
+
+def find_json(text: str, max_blocks: int | None = None) -> list[str]:
+    """The JSON objects and arrays in a text, from left to right, none inside another."""
+    return _scan(text, max_blocks)[0]
+
+
+class _Record:
+    """The blocks of a record whose lines come one after the other; no more than an open block is kept."""
+
+    def __init__(self, max_blocks: int | None):
+        self.max_blocks, self.number = max_blocks, 0
+        self.parts: list[str] = []
+        self.size = self.wait = 0
+
+    def _take(self, whole: bool) -> list[tuple[int, str]]:
+        text = "".join(self.parts)
+        left = None if self.max_blocks is None else self.max_blocks - self.number
+        found, at = _scan(text, left, whole)
+        rest = text[at:]
+        # An open block is read again when it is twice as long, so that long blocks take linear time.
+        self.parts, self.size, self.wait = ([rest] if rest else []), len(rest), 2 * len(rest)
+        first, self.number = self.number, self.number + len(found)
+        return list(enumerate(found, first))
+
+    def add(self, line: str) -> list[tuple[int, str]]:
+        if not self.parts and "{" not in line and "[" not in line:
+            return []
+        self.parts += [line, "\n"]
+        self.size += len(line) + 1
+        return self._take(whole=False) if self.size >= self.wait else []
+
+    def end(self) -> list[tuple[int, str]]:
+        return self._take(whole=True) if self.parts else []
 
 
 def json_blocks(records: DataFrame, keys: list[str] | None = None, max_blocks: int | None = None) -> DataFrame:
     """One row per JSON block of a record: its keys, the number of the block, the text.
 
-    Spark drops records without a bracket before anything goes to Python.  All blocks of the whole
-    text are found; ``max_blocks=3`` gives those a record's detail view shows.
+    Spark drops records without a bracket before anything goes to Python.  All blocks of the column
+    ``text`` are found; ``max_blocks=3`` gives those a record's detail view shows.
     """
     keys = ["file_path", "first_line"] if keys is None else keys
     candidates = records.where(F.col("text").rlike(r"[{\[]")).select(*keys, "text")
@@ -67,6 +107,42 @@ def json_blocks(records: DataFrame, keys: list[str] | None = None, max_blocks: i
     return candidates.mapInPandas(scan, f"{types}, block_no int, json string")
 
 
+def line_json_blocks(lines: DataFrame, max_blocks: int | None = None) -> DataFrame:
+    """``json_blocks`` of whole records, read from their lines: ``file_path, first_line, block_no, json``.
+
+    No text of a record is put together.  Spark sorts the lines of a record, on disk if need be, and
+    drops those before its first bracket; one task reads the others and keeps only an open block of them.
+    """
+    plain = lines.where("is_plain").select("file_path", F.col("line_no").alias("first_line"), "text")
+    record = Window.partitionBy("file_path", "logical_id").orderBy("line_no")
+    so_far = record.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    others = (
+        lines.where(~F.col("is_plain"))
+        .select("file_path", "logical_id", "line_no", "text")
+        .withColumn("first_line", F.first("line_no").over(so_far))
+        .withColumn("_seen", F.max(F.col("text").rlike(r"[{\[]")).over(so_far))
+        .where("_seen")
+        .sortWithinPartitions("file_path", "logical_id", "line_no")
+        .select("file_path", "first_line", "text")
+    )
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.select("file_path", "first_line").schema)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, record = None, _Record(max_blocks)
+        columns = ["file_path", "first_line", "block_no", "json"]
+        for batch in batches:
+            rows = []
+            for *at, text in batch.itertuples(index=False, name=None):
+                if at != key:
+                    rows += [(*key, *found) for found in record.end()]
+                    key, record = at, _Record(max_blocks)
+                rows += [(*key, *found) for found in record.add(text)]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+        yield pd.DataFrame([(*key, *found) for found in record.end()], columns=columns, dtype=object)
+
+    return others.mapInPandas(scan, f"{types}, block_no int, json string").unionByName(json_blocks(plain, max_blocks=max_blocks))
+
+
 def json_values(blocks: DataFrame) -> DataFrame:
     """One row per top-level key of each object block, with its value as text."""
     entries = F.from_json("json", "map<string,string>")

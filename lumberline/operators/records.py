@@ -173,28 +173,34 @@ def record_heads(lines: DataFrame, filtered: bool = False) -> DataFrame:
 
 
 def assemble_records(
-    lines: DataFrame, max_lines: int = RECORD_LINES, max_chars: int = RECORD_CHARS
+    lines: DataFrame, max_lines: int | None = RECORD_LINES, max_chars: int | None = RECORD_CHARS
 ) -> DataFrame:
     """Text of each record: its lines joined by newlines, up to the size a record is shown with.
 
-    ``truncated`` says that a record goes on; ``n_lines`` counts all its lines.  One task sorts the lines
-    of a record, on disk if need be, and keeps no more than ``max_lines`` of them; lines of free text
-    are records of their own and are not grouped at all.
+    ``truncated`` says that a record goes on; ``n_lines`` counts all its lines.  With a limit of lines one
+    task sorts the lines of a record, on disk if need be, and keeps no more than ``max_lines`` of them;
+    lines of free text are records of their own and are not grouped at all.  ``None`` is no limit: the text
+    is whole, and as long as the record.
     """
-    order = Window.partitionBy("file_path", "logical_id").orderBy("line_no")
-    ranked = lines.where(~F.col("is_plain")).withColumn("_rank", F.row_number().over(order))
-    shown = F.when(F.col("_rank") <= max_lines, F.struct("line_no", "text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["text"]), "\n")
+    line, more = F.struct("line_no", "text"), F.lit(False)
+    ranked = lines.where(~F.col("is_plain"))
+    if max_lines is not None:
+        order = Window.partitionBy("file_path", "logical_id").orderBy("line_no")
+        ranked = ranked.withColumn("_rank", F.row_number().over(order))
+        line, more = F.when(F.col("_rank") <= max_lines, line), F.max("_rank") > max_lines
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n")
     grouped = ranked.groupBy("file_path", "logical_id").agg(
         F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"),
         F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), joined.alias("text"),
-        (F.max("_rank") > max_lines).alias("_more"),
+        more.alias("_more"),
     )
     free = lines.where(F.col("is_plain")).select(
         "file_path", "logical_id", F.col("line_no").alias("first_line"),
         F.lit(1).cast("bigint").alias("n_lines"), "ts_ms", "level", "text", F.lit(False).alias("_more"),
     )
     both = grouped.unionByName(free)
+    if max_chars is None:
+        return both.withColumnRenamed("_more", "truncated")
     return both.withColumns(
         {"truncated": F.col("_more") | (F.length("text") > max_chars), "text": F.left(F.col("text"), F.lit(max_chars))}
     ).drop("_more")

@@ -3,8 +3,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from lumberline.functions.detect import classify
 from lumberline.functions.tokens import token_type
 from lumberline.operators import payloads, tokens
+from lumberline.operators.records import assemble_records, assign_records
 
 
 def kinds(spark, text):
@@ -122,3 +124,31 @@ def test_json_keys(spark):
     assert found == {"a": (2, 1), "b": (1, 1)}
     values = {(r["id"], r["key"]): r["value"] for r in payloads.json_values(frame).collect()}
     assert values[(1, "b")] == '{"c":[2]}'
+
+
+def test_json_of_long_records(spark, lines_of):
+    """Blocks behind the size a record is shown with, blocks over many lines, and an open one at the end."""
+    spread = ['{"k": [', *[f"  {i}," for i in range(50)], "  50", "]}"]
+    texts = ["2026-07-10 09:00:00 INFO a", *[f"line {i}" for i in range(2500)], 'late {"a": 1} [1, 2]', *spread, "x" * 300_000 + ' {"b": 2}', "{", '"c"']
+    texts += ["2026-07-10 09:00:01 INFO b", ': {"d": 1}', "2026-07-10 09:00:02 INFO c"]
+    record = assign_records(classify(lines_of(64, f=texts, g=["plain [1, [2]] text"])))
+    found = {(r["file_path"], r["first_line"], r["block_no"]): r["json"] for r in payloads.line_json_blocks(record).collect()}
+    whole = ['{"a": 1}', "[1, 2]", "\n".join(spread), '{"b": 2}']
+    assert found == {("f", 1, i): x for i, x in enumerate(whole)} | {("f", len(texts) - 2, 0): '{"d": 1}', ("g", 1, 0): "[1, [2]]"}
+    assert payloads.line_json_blocks(record, max_blocks=2).where("file_path = 'f'").count() == 3
+    text = assemble_records(record, max_lines=None, max_chars=None).where("file_path = 'f' and first_line = 1").first()
+    assert text["text"] == "\n".join(texts[:-3]) and not text["truncated"]
+
+
+def test_json_line_by_line_as_at_once():
+    draw = random.Random(11)
+    texts = ["".join(draw.choice('{{}}[]",:1-a\\ \n\n') for _ in range(60)) for _ in range(4000)]
+    values = [{"a": [1, {"b": "x\\\n"}], "c": {}}, [[], [1], {"d": None}], {"e": "}{"}, [8], [True, -1.5e3]]
+    for _ in range(1000):
+        text = "".join(json.dumps(draw.choice(values), indent=draw.choice([None, 1])) + draw.choice([" ", "\n", "{\n", "[ \n", '"']) for _ in range(4))
+        cut = draw.randrange(len(text))
+        texts.append(text[:cut] + draw.choice(["", "\n", "}"]) + text[cut:])
+    for text in texts:
+        record = payloads._Record(None)
+        found = [x for line in text.split("\n") for x in record.add(line)] + record.end()
+        assert [x for _, x in found] == model_blocks(text) and [n for n, _ in found] == list(range(len(found))), text
