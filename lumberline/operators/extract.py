@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import astuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.functions.detect import classify, ms_to_ntz, with_timestamp
 from lumberline.operators.records import assign_records
-from lumberline.plans.blocks import FREE_TEXT, UNTRIMMED, Schema, SchemaError, checked, schema_from_json
+from lumberline.plans.blocks import FREE_TEXT, UNTRIMMED, Block, Schema, SchemaError, checked, schema_from_json
 from lumberline.plans.importers import PRESETS, schema_from_grok, schema_from_log4j, suggest_schema
 from lumberline.plans.regexes import Variant, variants
 
+#: Candidates of one pass over a table; more of them take more passes, so that the plan does not grow with their number.
+RANKED_TOGETHER = 20
+
 # Noncharacters, reserved by Unicode for use inside a program: they cannot stand in a valid line.
 ROW, CELL = "\ufdd0", "\ufdd1"
 REPORT = ["status", "matched_blocks", "skipped_from", "skipped_to", "unparsed", "hole"]
@@ -148,31 +157,39 @@ def extract_preset(lines: DataFrame, name: str) -> DataFrame:
     return extract_fields(lines, PRESETS[name])
 
 
-def frequent_shapes(lines: DataFrame, shapes: int = 20) -> DataFrame:
-    """The most frequent line shapes of a table, with one line of each as an example.
+def suggested_schemas(lines: DataFrame) -> DataFrame:
+    """Every schema that a line of a table suggests, as ``schema`` (its blocks in JSON), with the number of its lines ``n``.
 
-    Shapes are counted without carrying texts; examples are looked up for the few that remain.
+    The lines of a batch are counted by their schema before anything is shuffled.
     """
-    from lumberline.functions.text import normalize
 
-    shaped = lines.where(_trimmed(F.col("text")) != "").select("text", normalize(F.col("text")).alias("shape"))
-    counts = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape").limit(shapes)
-    found = shaped.join(F.broadcast(counts), "shape")  # at most ``shapes`` rows
-    return found.groupBy("shape").agg(F.first("n").alias("n"), F.min("text").alias("example")).orderBy(F.desc("n"), "shape")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = Counter(suggest_schema(text) for text in batch["text"])
+            rows = [(json.dumps([astuple(b) for b in schema.blocks]), n) for schema, n in found.items()]
+            yield pd.DataFrame(rows, columns=["schema", "n"])
+
+    texts = lines.where(_trimmed(F.col("text")) != "").select("text")
+    return texts.mapInPandas(count, "schema string, n bigint").groupBy("schema").agg(F.sum("n").alias("n"))
 
 
-def infer_schema(lines: DataFrame, shapes: int = 20) -> tuple[Schema, DataFrame]:
-    """The schema that covers most lines of a table, among those its frequent lines suggest.
+def infer_schema(lines: DataFrame) -> tuple[Schema, DataFrame]:
+    """The schema that covers most lines of a table, among those its lines suggest.
 
-    Returns the schema and the ranking of all candidates (``example, full, partial, none, blank``).
-    All candidates are counted in one pass over the table.
+    Returns the schema and the ranking of all candidates (``name, full, partial, none, blank``), named by
+    their place when they are ordered by the number of lines that suggest them.  ``RANKED_TOGETHER``
+    candidates are counted in one pass over the table.
     """
-    examples = [r["example"] for r in frequent_shapes(lines, shapes).collect()]  # at most ``shapes`` rows
-    candidates = list(dict.fromkeys(suggest_schema(e) for e in examples))
+    suggested = suggested_schemas(lines).orderBy(F.desc("n"), "schema").collect()
+    candidates = [Schema(tuple(Block(*b) for b in json.loads(r["schema"]))) for r in suggested]
     if not candidates:
         raise SchemaError("no line to infer a schema from")
-    ranking = rank_schemas(lines, {str(i): c for i, c in enumerate(candidates)})
-    best = ranking.orderBy(F.desc("full"), F.desc("partial"), F.col("name").cast("int")).first()
+    rows = []
+    for start in range(0, len(candidates), RANKED_TOGETHER):
+        some = candidates[start : start + RANKED_TOGETHER]
+        rows += rank_schemas(lines, {str(i): c for i, c in enumerate(some, start)}).collect()
+    best = max(rows, key=lambda r: (r["full"], r["partial"], -int(r["name"])))
+    ranking = lines.sparkSession.createDataFrame(rows, "name string, full bigint, partial bigint, none bigint, blank bigint")
     return candidates[int(best["name"])], ranking
 
 

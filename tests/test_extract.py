@@ -188,3 +188,27 @@ def test_hex_values_beyond_64_bits_are_null(spark):
     rows = spark.createDataFrame([("[0xff] a",), ("[0x" + "f" * 40 + "] a",), ("[0x" + "0" * 30 + "1f] a",)], "text string")
     found = [r["H"] for r in extract.typed_fields(extract.extract_fields(rows, schema), schema).collect()]
     assert [None if v is None else int(v) for v in found] == [255, None, 31]
+
+
+def test_infer_from_many_shapes(spark, monkeypatch):
+    """Most lines have one format and wordings of their own; a smaller format repeats 20 messages."""
+    letters = "abcdefghijklmnop"
+    free = [f"2025-06-11 12:00:01 [w] INFO - {letters[i // 16]}{letters[i % 16]} rope torn" for i in range(200)]
+    hot = [f"<{letters[i % 16] * (1 + i // 16)}> moored at the {letters[i % 16]} quay" for i in range(20)] * 3
+    rows = spark.createDataFrame([(t,) for t in free + hot + [""]], "text string")
+    schema, ranking = extract.infer_schema(rows)
+    assert schema == suggest_schema(free[0])
+    counts = {(r["full"], r["partial"], r["none"], r["blank"]) for r in ranking.collect()}
+    assert (200, 0, 60, 1) in counts and ranking.count() == 2
+    monkeypatch.setattr(extract, "RANKED_TOGETHER", 1)
+    again, passes = extract.infer_schema(rows)
+    assert again == schema and sorted(passes.collect()) == sorted(ranking.collect())
+
+
+def test_suggested_schema_has_all_fields(spark):
+    line = "2025-06-11 12:00:01 " + " ".join(map(str, range(30))) + " done now"
+    schema = suggest_schema(line)
+    assert [b.kind for b in schema.blocks] == ["timestamp"] + ["integer"] * 30 + ["text", "remainder"]
+    found = dict(fields(spark, schema, line)[0][1])
+    assert found["Number 30"] == "29" and found["Source"] == "done" and found["Message"] == "now"
+    assert suggest_schema("2025-06-11 12:00:01 \r").field_names == ["Timestamp", "Message"]
