@@ -9,7 +9,7 @@ from lumberline.catalog.base import (
     BRACKET_ROWS, EVENT_LINES, EVENT_SCHEMA, THREAD_ROWS, event_fields, events, query, sql, then,
 )
 from lumberline.operators import extract
-from lumberline.plans.importers import PRESETS
+from lumberline.plans.importers import PRESETS, schema_from_grok
 from lumberline.sources import views
 
 S = SparkSession
@@ -62,15 +62,28 @@ def infer(spark: S, sf_dir: str) -> DataFrame:
     return extract.schema_coverage(log, schema).withColumn("names", F.lit(",".join(schema.field_names)))
 
 
+GROK = r"%{TIMESTAMP_ISO8601:time} \[%{WORD:thread}\] %{LOGLEVEL:level} - %{GREEDYDATA:msg}"
+
+
 @query("X7_grok", sql("""SELECT seq, stamp AS time, CASE WHEN l_returnflag <> 'R' THEN thread END AS thread, lv, msg AS message
   FROM thr WHERE l_returnflag <> 'R'""", THREAD_ROWS))
 def grok(spark: S, sf_dir: str) -> DataFrame:
-    rx = r"%{TIMESTAMP_ISO8601:time} \[%{WORD:thread}\] %{LOGLEVEL:level} - %{GREEDYDATA:msg}"
-    found = extract.extract_grok(views.thread_lines(spark, sf_dir), rx)
+    found = extract.extract_grok(views.thread_lines(spark, sf_dir), GROK)
     complete = F.col("fields.thread").isNotNull()
     return _spread(found.where(complete), ["seq"], time="time", thread="thread", lv="level", message="msg")
 
 
+# All lines, also those that X7_grok leaves out: behind its time such a line is left over and becomes the message.
+@query("X7_grok_all", sql("""SELECT seq, stamp AS time, CASE WHEN l_returnflag <> 'R' THEN thread END AS thread, CASE WHEN l_returnflag <> 'R' THEN lv END AS lv,
+  CASE WHEN l_returnflag = 'R' THEN thread || ' ' || lv || ' - ' ELSE '' END || msg AS message,
+  CASE WHEN l_returnflag = 'R' THEN 'partial' ELSE 'full' END AS status FROM thr""", THREAD_ROWS))
+def grok_all(spark: S, sf_dir: str) -> DataFrame:
+    found = extract.extract_grok(views.thread_lines(spark, sf_dir), GROK)
+    reported = extract.match_report(found, schema_from_grok(GROK)).withColumn("status", F.col("match.status"))
+    f = F.col("fields")
+    return reported.select("seq", f["time"].alias("time"), f["thread"].alias("thread"), f["level"].alias("lv"), f["msg"].alias("message"), "status")
+
+
 @query("X8_log4j", sql("SELECT seq, stamp AS ts_text, thread, lv, msg AS message FROM thr", THREAD_ROWS))
 def log4j(spark: S, sf_dir: str) -> DataFrame:
     found = extract.extract_log4j(views.thread_lines(spark, sf_dir), "%d{ISO8601} [%t] %-5p - %m%n")

@@ -212,3 +212,12 @@ def test_suggested_schema_has_all_fields(spark):
     found = dict(fields(spark, schema, line)[0][1])
     assert found["Number 30"] == "29" and found["Source"] == "done" and found["Message"] == "now"
     assert suggest_schema("2025-06-11 12:00:01 \r").field_names == ["Timestamp", "Message"]
+
+
+def test_grok_query_over_all_lines(spark, tmp_path, monkeypatch):
+    from lumberline.catalog import REGISTRY, fields as queries
+
+    lines = ["2001-10-14 00:00:00,060 [w] INFO - part 1", "2001-10-14 00:00:00,061 w ERROR - part 2"]
+    monkeypatch.setattr(queries.views, "thread_lines", lambda s, d: s.createDataFrame(list(enumerate(lines)), "seq int, text string"))
+    found = {r["seq"]: (r["thread"], r["lv"], r["message"], r["status"]) for r in REGISTRY["X7_grok_all"].run(spark, str(tmp_path)).collect()}
+    assert found == {0: ("w", "INFO", "part 1", "full"), 1: (None, None, "w ERROR - part 2", "partial")}
