@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.llm import bpe, dartminhash, decontaminate, langid, lines, planes, quality, sharding, toxicity, warc
+from lumberline.llm import bpe, dartminhash, decontaminate, langid, lines, merkle, packing, planes, quality, resampling, sharding, toxicity, warc
 from lumberline.llm.common import is_training_row, table
 from lumberline.session import checkpoint_dir
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 PLANES_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -158,3 +159,95 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_line_dedup", f"WITH {lines.drop_boilerplate_sql()} SELECT doc_id, source, text, n_lines, n_dropped FROM lined")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+#: The table of CRC-32 from its polynomial, for DuckDB, which has no such function.
+_CRC_TABLE = "(SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+
+
+def _crc_sql(hexed: str) -> str:
+    """The checksum of the bytes that hexadecimal digits give, with the table as ``tab``."""
+    given = f"list_transform(range(1, len({hexed}) // 2 + 1), lambda k: CAST(CAST('0x' || substr({hexed}, 2 * k - 1, 2) AS INTEGER) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {given}), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
+
+
+_TOLD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+#: Levels that the SQL climbs: 16 ** 7 rows of a source, 16 ** 5 sources.
+_ROW_LEVELS, _SOURCE_LEVELS = 7, 5
+
+
+def _merkle_sql() -> str:
+    """Level by level: the nodes of each tree, their runs, and what stands beside each node.  A finished tree stays as it is."""
+    head = [_TOLD.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = f"sha256({' || '.join([*head, _TOLD.format('text')])})"
+    seen = f"sha256({' || '.join([*head, _TOLD.format('low')])})"
+    crc = _crc_sql("hex(encode(CAST(doc_id AS VARCHAR)))")
+    steps = [
+        f"t AS {_CRC_TABLE}",
+        f"a AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low FROM documents, t)",
+        f"b AS (SELECT row_number() OVER () AS rid, doc_id, source, {leaf} AS leaf, {seen} AS seen FROM a)",
+        "s AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM b))",
+        "r AS (SELECT rid, doc_id, tree, leaf, seen, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source)",
+        "n0 AS (SELECT tree, i, leaf AS h FROM r)",
+    ]
+
+    def level(k: int) -> None:
+        steps.append(f"c{k} AS (SELECT tree, count(*) > 1 AS more FROM n{k} GROUP BY tree)")
+        steps.append(f"n{k + 1} AS (SELECT tree, i // 16 AS i, CASE WHEN any_value(more) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM n{k} JOIN c{k} USING (tree) GROUP BY tree, i // 16)")
+        # Siblings to the left and to the right; a tree that is done has none and is not hashed again.
+        side = "coalesce(string_agg(h, '') OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN {}), '')"
+        steps.append(f"p{k} AS (SELECT tree, i, more, {side.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS g FROM n{k} JOIN c{k} USING (tree))")
+
+    for k in range(_ROW_LEVELS):
+        level(k)
+    top = _ROW_LEVELS
+    steps.append(f"sub AS (SELECT tree, h AS subroot FROM n{top})")
+    steps.append(f"n{top + 1} AS (SELECT 0 AS tree, tree AS i, subroot AS h FROM sub)")
+    for k in range(top + 1, top + 1 + _SOURCE_LEVELS):
+        level(k)
+    last = top + 1 + _SOURCE_LEVELS
+    came, proof, fold = "r", "''", "x.seen"
+    for k in [*range(_ROW_LEVELS), *range(top + 1, last)]:
+        node = f"p.tree = x.tree AND p.i = x.i // {16**k}" if k < top else f"p.tree = 0 AND p.i = x.tree // {16 ** (k - top - 1)}"
+        steps.append(
+            f"f{k} AS (SELECT x.rid, x.doc_id, x.tree, x.leaf, x.i, {proof} || p.l || p.g AS proof, "
+            f"CASE WHEN p.more THEN sha256(p.l || {fold} || p.g) ELSE {fold} END AS fold FROM {came} x JOIN p{k} p ON {node})"
+        )
+        came, proof, fold = f"f{k}", "x.proof", "x.fold"
+    return (
+        f"WITH {', '.join(steps)} SELECT x.doc_id, x.leaf, sub.subroot, top.h AS root, sha256(x.proof) AS proof_sha256, x.fold AS folded_root, x.fold = top.h AS verified "
+        f"FROM {came} x JOIN sub ON sub.tree = x.tree CROSS JOIN n{last} AS top"
+    )
+
+
+@_query("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS w FROM documents),
+dw AS (SELECT rid, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM (SELECT {_WORDS_SQL} AS w FROM benchmark)),
+t AS {_CRC_TABLE},
+v AS (SELECT word, {_crc_sql("hx")} % 10000 AS bucket FROM (SELECT word, hex(encode(word)) AS hx FROM (SELECT word FROM dw UNION SELECT word FROM bw)), t),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN v USING (word) GROUP BY bucket),
+b AS (SELECT bucket, count(*) AS t FROM bw JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT count(*) FROM dw) + 10000)
+  / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN b USING (bucket)),
+k AS (SELECT rid, sum(gain) AS weight FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN k USING (rid)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+z AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (rid)"""
+
+
+@_query("op12_resampling", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
