@@ -172,38 +172,133 @@ def record_heads(lines: DataFrame, filtered: bool = False) -> DataFrame:
     )
 
 
-def assemble_records(
-    lines: DataFrame, max_lines: int | None = RECORD_LINES, max_chars: int | None = RECORD_CHARS
-) -> DataFrame:
-    """Text of each record: its lines joined by newlines, up to the size a record is shown with.
-
-    ``truncated`` says that a record goes on; ``n_lines`` counts all its lines.  With a limit of lines one
-    task sorts the lines of a record, on disk if need be, and keeps no more than ``max_lines`` of them;
-    lines of free text are records of their own and are not grouped at all.  ``None`` is no limit: the text
-    is whole, and as long as the record.
+def record_carry(parts: DataFrame) -> DataFrame:
+    """What the blocks before hold of the record that a block begins with; one row per block that goes on with one.
+
+    ``parts`` has a row per block and record: ``first_line, n_lines, n_chars``.  The windows run over one row
+    per block, never over the lines or parts of a record.
     """
-    line, more = F.struct("line_no", "text"), F.lit(False)
-    ranked = lines.where(~F.col("is_plain"))
-    if max_lines is not None:
-        order = Window.partitionBy("file_path", "logical_id").orderBy("line_no")
-        ranked = ranked.withColumn("_rank", F.row_number().over(order))
-        line, more = F.when(F.col("_rank") <= max_lines, line), F.max("_rank") > max_lines
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n")
-    grouped = ranked.groupBy("file_path", "logical_id").agg(
+    blocks = parts.groupBy(*KEYS).agg(
+        F.min("logical_id").alias("first_id"), F.max("logical_id").alias("last_id"),
+        *[F.max_by(c, "logical_id").alias(f"last_{c}") for c in ("first_line", "n_lines", "n_chars")],
+    )
+    along = Window.partitionBy("file_path").orderBy("block")
+    before = _before(along)
+    goes_on = F.coalesce(F.lag("last_id").over(along) == F.col("first_id"), F.lit(False))
+    summed = blocks.withColumns({
+        "_on": goes_on,
+        "_lines": F.coalesce(F.sum("last_n_lines").over(before), F.lit(0)),
+        # Parts of a record are joined by a line end each.
+        "_chars": F.coalesce(F.sum(F.col("last_n_chars") + 1).over(before), F.lit(0)),
+    })
+    begins = F.when(~F.col("_on") | (F.col("first_id") < F.col("last_id")), F.struct("last_first_line", "_lines", "_chars"))
+    start = F.last(begins, ignorenulls=True).over(before)
+    return summed.withColumn("_start", start).where("_on").select(
+        *KEYS, "first_id", F.col("_start.last_first_line").alias("start_line"),
+        (F.col("_lines") - F.col("_start._lines")).alias("lines_before"),
+        (F.col("_chars") - F.col("_start._chars")).alias("chars_before"),
+    )
+
+
+def _record_parts(lines: DataFrame) -> DataFrame:
+    """What each block has of each record, free text aside, and where in the record it stands.
+
+    ``parts`` says that the record is in more than one block.  Only these need a further grouping.
+    """
+    line = F.struct("line_no", "text")
+    texts = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"])
+    parts = lines.where(~F.col("is_plain")).groupBy(*KEYS, "logical_id").agg(
         F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"),
-        F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), joined.alias("text"),
-        more.alias("_more"),
+        F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), texts.alias("texts"),
     )
-    free = lines.where(F.col("is_plain")).select(
-        "file_path", "logical_id", F.col("line_no").alias("first_line"),
-        F.lit(1).cast("bigint").alias("n_lines"), "ts_ms", "level", "text", F.lit(False).alias("_more"),
+    narrow = lines.where(~F.col("is_plain")).select(*KEYS, "logical_id", "line_no", F.length("text").alias("_n")).groupBy(*KEYS, "logical_id").agg(
+        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), (F.sum("_n") + F.count(F.lit(1)) - 1).alias("n_chars"))
+    carry = record_carry(narrow).withColumnRenamed("first_id", "logical_id")
+    # The last record of a block goes on if the next block has something before it.
+    along = Window.partitionBy("file_path").orderBy("block")
+    ids = narrow.groupBy(*KEYS).agg(F.min("logical_id").alias("_first"), F.max("logical_id").alias("logical_id"))
+    goes_on = ids.withColumn("_next", F.lead("_first").over(along)).where(F.col("_next") == F.col("logical_id")).select(*KEYS, "logical_id", F.lit(True).alias("_goes_on"))
+    return (
+        parts.join(carry, [*KEYS, "logical_id"], "left").join(goes_on, [*KEYS, "logical_id"], "left")
+        .withColumns({
+            "parts": F.col("start_line").isNotNull() | F.coalesce("_goes_on", F.lit(False)),
+            "record_line": F.coalesce("start_line", "first_line"),
+            "lines_before": F.coalesce("lines_before", F.lit(0)), "chars_before": F.coalesce("chars_before", F.lit(0)),
+        })
+        .drop("start_line", "_goes_on")
+    )
+
+
+def _free_text(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("is_plain")).select(
+        "file_path", "logical_id", F.col("line_no").alias("first_line"), F.lit(1).cast("bigint").alias("n_lines"), "ts_ms", "level", "text",
+    )
+
+
+def record_chunks(lines: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
+    """The whole text of each record as rows ``(file_path, logical_id, first_line, chunk_no, n_lines, ts_ms, level, text)``.
+
+    Chunks of ``chunk_chars`` characters, the last one shorter, make up the record's lines joined by newlines;
+    nothing is left out, however long a record is.  ``n_lines`` counts the lines that begin in the chunk.  A
+    task has a block of lines or one chunk, so that an endless record is many tasks.
+    """
+    parts = _record_parts(lines)
+    joined = F.array_join("texts", "\n")
+    # What begins inside a record begins with the line end before it.
+    text = F.when(F.col("chars_before") > 0, F.concat(F.lit("\n"), joined)).otherwise(joined)
+    begin = F.greatest(F.col("chars_before") - 1, F.lit(0))
+    size = F.lit(chunk_chars)
+    placed = parts.withColumns({"_text": text, "_begin": begin}).withColumn("_end", F.col("_begin") + F.length("_text"))
+    numbers = F.sequence(F.floor(F.col("_begin") / size), F.floor(F.greatest(F.col("_end") - 1, F.col("_begin")) / size))
+    cut = placed.withColumn("chunk_no", F.explode(numbers))
+    low, high = F.greatest(F.col("chunk_no") * size, F.col("_begin")), F.least((F.col("chunk_no") + 1) * size, F.col("_end"))
+    piece = F.substring(F.col("_text"), (low - F.col("_begin") + 1).cast("int"), (high - low).cast("int"))
+    pieces = cut.withColumns({"text": piece, "_at": low})
+    opened = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + F.when((F.col("_at") == 0) & (F.col("chars_before") == 0), 1).otherwise(0)
+    pieces = pieces.withColumn("n_lines", opened.cast("bigint"))
+    columns = ["file_path", "logical_id", "first_line", "chunk_no", "n_lines", "ts_ms", "level", "text"]
+    whole = pieces.where(~F.col("parts"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"])
+    met = pieces.where("parts").groupBy("file_path", "logical_id", F.col("record_line").alias("first_line"), "chunk_no").agg(
+        F.sum("n_lines").alias("n_lines"), F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"), F.array_join(ordered, "").alias("text"))
+    free = _free_text(lines).withColumn("_text", F.col("text")).withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.length("_text") - 1, F.lit(0)) / size))))
+    free = free.withColumns({
+        "text": F.substring(F.col("_text"), (F.col("chunk_no") * size + 1).cast("int"), size), "n_lines": (F.col("chunk_no") == 0).cast("bigint"),
+    })
+    return whole.select(*columns).unionByName(met.select(*columns)).unionByName(free.select(*columns))
+
+
+def assemble_records(lines: DataFrame, max_lines: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """One row per record with its text: its lines joined by newlines, whole unless a limit is given.
+
+    ``RECORD_LINES`` and ``RECORD_CHARS`` are the limits of a shown head; ``truncated`` says that a record goes
+    on beyond them, ``n_lines`` counts all its lines.  Records inside a block are put together there; of those
+    that go over blocks, a task gets one row per block with no more than the limits allow.  Without
+    limits such a row is as long as its record: ``record_chunks`` has no such rows.
+    """
+    parts = _record_parts(lines)
+    kept = F.col("texts")
+    if max_lines is not None:
+        kept = F.slice(kept, F.lit(1), F.greatest(F.lit(max_lines) - F.col("lines_before"), F.lit(0)).cast("int"))
+    parts = parts.withColumn("_kept", kept).withColumns({"_text": F.array_join("_kept", "\n"), "_n": F.size("_kept").cast("bigint")})
+    parts = parts.withColumn("_chars", F.length("_text").cast("bigint"))
+    if max_chars is not None:  # what begins behind the limit is counted and not sent
+        parts = parts.withColumn("_text", F.when(F.col("chars_before") <= max_chars, F.left(F.col("_text"), F.lit(max_chars))))
+    inside = parts.where(~F.col("parts")).select(
+        "file_path", "logical_id", "first_line", "n_lines", "ts_ms", "level", F.col("_text").alias("text"), "_n", "_chars")
+    shown = F.when((F.col("_n") > 0) & F.col("_text").isNotNull(), F.struct("lines_before", "_text"))
+    over = parts.where("parts").groupBy("file_path", "logical_id", F.col("record_line").alias("first_line")).agg(
+        F.sum("n_lines").alias("n_lines"), F.max("ts_ms").alias("ts_ms"), F.max("level").alias("level"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["_text"]), "\n").alias("text"),
+        F.sum("_n").alias("_n"), (F.sum(F.when(F.col("_n") > 0, F.col("_chars") + 1)) - 1).alias("_chars"),
     )
-    both = grouped.unionByName(free)
-    if max_chars is None:
-        return both.withColumnRenamed("_more", "truncated")
-    return both.withColumns(
-        {"truncated": F.col("_more") | (F.length("text") > max_chars), "text": F.left(F.col("text"), F.lit(max_chars))}
-    ).drop("_more")
+    free = _free_text(lines).withColumns({"_n": F.col("n_lines"), "_chars": F.length("text").cast("bigint")})
+    both = inside.unionByName(over).unionByName(free)
+    more = F.col("n_lines") > F.col("_n")
+    if max_chars is not None:
+        more = more | (F.col("_chars") > max_chars)
+        both = both.withColumn("text", F.left(F.col("text"), F.lit(max_chars)))
+    return both.withColumn("truncated", more).drop("_n", "_chars")
 
 
 def record_headers(lines: DataFrame) -> DataFrame:

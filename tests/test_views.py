@@ -9,7 +9,7 @@ from lumberline.operators import filters, marks, order
 from lumberline.operators.documents import drop_file, merge_logs, source_count
 from lumberline.operators.filters import FilterSpec
 from lumberline.operators.records import (
-    assemble_records, assign_records, mark_new, record_fields, record_headers, record_heads,
+    RECORD_CHARS, RECORD_LINES, assemble_records, assign_records, mark_new, record_chunks, record_fields, record_headers, record_heads,
 )
 
 LEVELS = ["INFO", "WARN", "ERROR", "FATAL", "DEBUG"]
@@ -207,11 +207,51 @@ def test_endless_record_is_cut(lines_of):
     assert assemble_records(record, max_chars=10).first()["text"] == "2026-07-10"
 
 
-def test_long_record_counts_all_its_lines(lines_of):
+def test_long_record_is_whole_and_its_head_is_asked_for(lines_of):
     texts = ["2026-07-10 09:00:00 INFO a"] + [f"line {i}" for i in range(4999)]
     record = assign_records(classify(lines_of(4, f=texts)))
     row = assemble_records(record).first()
-    assert row["n_lines"] == 5000 == record_headers(record).first()["n_lines"] and row["truncated"]
+    assert row["n_lines"] == 5000 == record_headers(record).first()["n_lines"] and not row["truncated"]
+    assert row["text"] == "\n".join(texts)
+    head = assemble_records(record, RECORD_LINES, RECORD_CHARS).first()
+    assert head["n_lines"] == 5000 and head["truncated"] and head["text"] == "\n".join(texts[:RECORD_LINES])
+
+
+def test_heads_at_any_limit(lines_of):
+    texts = ["2026-07-10 09:00:00 INFO a", "", "", "bcd", "e" * 9, "", "2026-07-10 09:00:01 INFO second", "", "x"]
+    for block in (1, 2, 4, 20):
+        record = assign_records(classify(lines_of(block, f=texts, g=["free", "text 12"]))).cache()
+        for lines in (None, 1, 2, 3, 6, 7):
+            for chars in (None, 1, 26, 27, 28, 40, 300):
+                found = {(r["file_path"], r["first_line"]): r for r in assemble_records(record, lines, chars).collect()}
+                for first, own in ((1, texts[:6]), (7, texts[6:])):
+                    kept = "\n".join(own[:lines])
+                    row = found["f", first]
+                    cut = len(own) > (lines or 99) or len(kept) > (chars or 999)
+                    assert (row["text"], row["n_lines"], row["truncated"]) == (kept[:chars], len(own), cut)
+                assert found["g", 2]["text"] == "text 12"[:chars]
+        record.unpersist()
+
+
+def test_chunks_make_up_the_record(lines_of):
+    draw = random.Random(3)
+    for block in (1, 3, 50):
+        texts = ["opening"] * 2
+        for _ in range(40):
+            texts += ["2026-07-10 09:00:00 INFO a", *["y" * draw.choice([0, 0, 1, 7, 30]) for _ in range(draw.choice([0, 1, 2, 20]))]]
+        log = assign_records(classify(lines_of(block, f=texts, g=["z" * 25, ""]))).cache()
+        whole = {(r["file_path"], r["first_line"]): (r["text"], r["n_lines"]) for r in assemble_records(log).collect()}
+        for size in (1, 8, 1000):
+            chunks = {}
+            for r in record_chunks(log, size).collect():
+                chunks.setdefault((r["file_path"], r["first_line"]), []).append((r["chunk_no"], r["text"], r["n_lines"]))
+            assert set(chunks) == set(whole)
+            for key, found in chunks.items():
+                found.sort()
+                assert [n for n, _, _ in found] == list(range(len(found)))
+                assert all(len(text) == size for _, text, _ in found[:-1]) and len(found[-1][1]) <= size
+                assert ("".join(t for _, t, _ in found), sum(n for _, _, n in found)) == whole[key]
+        log.unpersist()
 
 
 def test_record_fields_and_new_rows(spark):

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -140,15 +141,51 @@ def test_json_of_long_records(spark, lines_of):
     assert text["text"] == "\n".join(texts[:-3]) and not text["truncated"]
 
 
-def test_json_line_by_line_as_at_once():
-    draw = random.Random(11)
-    texts = ["".join(draw.choice('{{}}[]",:1-a\\ \n\n') for _ in range(60)) for _ in range(4000)]
-    values = [{"a": [1, {"b": "x\\\n"}], "c": {}}, [[], [1], {"d": None}], {"e": "}{"}, [8], [True, -1.5e3]]
-    for _ in range(1000):
-        text = "".join(json.dumps(draw.choice(values), indent=draw.choice([None, 1])) + draw.choice([" ", "\n", "{\n", "[ \n", '"']) for _ in range(4))
+def broken_texts(draw, n):
+    values = [{"a": [1, {"b": "x\\\n"}], "c": {}}, [[], [1], {"d": None}], {"e": "}{"}, [8], [True, -1.5e3], ["[1, 2]"], {"f": "{\"g\": 1}"}]
+    for _ in range(n):
+        yield "".join(draw.choice('{{}}[]",:1-a\\ \n\n') for _ in range(60))
+        text = "".join(json.dumps(draw.choice(values), indent=draw.choice([None, 1])) + draw.choice([" ", "\n", "{\n", "[ \n", '"', "[1,\n"]) for _ in range(4))
         cut = draw.randrange(len(text))
-        texts.append(text[:cut] + draw.choice(["", "\n", "}"]) + text[cut:])
-    for text in texts:
-        record = payloads._Record(None)
-        found = [x for line in text.split("\n") for x in record.add(line)] + record.end()
-        assert [x for _, x in found] == model_blocks(text) and [n for n, _ in found] == list(range(len(found))), text
+        yield text[:cut] + draw.choice(["", "\n", "}", "]", '"']) + text[cut:]
+
+
+def test_json_line_by_line_as_at_once():
+    for text in broken_texts(random.Random(11), 5000):
+        assert payloads.find_json(text) == model_blocks(text), text
+
+
+def test_json_takes_linear_time():
+    def seconds(text):
+        began = time.perf_counter()
+        payloads.find_json(text)
+        return time.perf_counter() - began
+
+    for part in ('{"a":[', "[", '["[",', '{"a": "[1,2] ', "[1,\n", '{"a"\n:[\n', '["\\'):
+        small, large = (min(seconds(part * n) for _ in range(3)) for n in (4_000, 32_000))
+        assert large < 30 * small + 0.05, part
+
+
+def test_json_of_records_over_blocks(spark, lines_of):
+    """Blocks of a few lines cut payloads anywhere; the result is that of the whole text."""
+    draw, files, want = random.Random(21), {}, set()
+    for f, text in enumerate(broken_texts(draw, 150)):
+        lines = [line for line in text.replace("\r", "").split("\n")]
+        rows = ["2026-07-10 09:00:00 INFO a " + draw.choice(["", "[", '{"k":', "[[1],"]), *lines]
+        if draw.random() < 0.4:
+            at = draw.randrange(1, len(rows) + 1)
+            rows.insert(at, "2026-07-10 09:00:01 INFO b ]")
+        name = f"f{f:03}"
+        files[name] = rows
+        starts = [i for i, row in enumerate(rows) if row.startswith("2026")]
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            want |= {(name, a + 1, k, found) for k, found in enumerate(model_blocks("\n".join(rows[a:b])))}
+    for block in (1, 3, 1000):
+        record = assign_records(classify(lines_of(block, **files)))
+        assert {tuple(r) for r in payloads.line_json_blocks(record).collect()} == want
+
+
+def test_json_of_a_view_that_lost_lines(lines_of):
+    texts = ["2026-07-10 09:00:00 INFO a", "{", '"a": [1,', "lost", "2]", "}", "end"]
+    view = assign_records(classify(lines_of(2, f=texts))).where("text <> 'lost' and line_no > 1")
+    assert [tuple(r) for r in payloads.line_json_blocks(view).collect()] == [("f", 2, 0, '{\n"a": [1,\n2]\n}')]
