@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumberline.llm.bpe import Cache, gathered
+from lumberline.llm.bpe import Cache
 from lumberline.llm.common import runs, text_bytes
 
 LENGTH, END_ID = 4096, 2
@@ -33,47 +33,93 @@ LENGTH, END_ID = 4096, 2
 GROUP_BYTES = 2 << 20
 #: Gaps of fewer ids are padded, since filling them takes a cut each.
 LEAST_GAP = 16
-#: Runs without blanks of more bytes are encoded one by one and not kept.
-_LONG_RUN = 64
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 13, 32]] = True
+#: Pieces of more bytes are encoded one by one and not kept.
+_LONG_PIECE = 64
+
+# Kinds of bytes.  A run between blanks that has a byte of the kind ODD, which may be part of a contraction, of a
+# special token, of a letter beyond ASCII or of other white space, stays whole; any other run is cut between kinds.
+_BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, _ODD, np.uint8)
+    for i in range(33, 127):
+        c = chr(i)
+        kinds[i] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _ODD if c in "'<" else _SIGN
+    kinds[[9, 10, 13, 32]] = _BLANK
+    return kinds
+
+
+_KIND = _kinds()
+_PLAIN = bytes(i for i in range(256) if _KIND[i] in (_LETTER, _DIGIT, _SIGN))
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space: each distinct run between blanks is encoded once."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and keeps words, digits and runs of signs apart.
+
+    Each distinct piece is encoded once: a lower-cased word, a digit or a run of signs, or a whole run between blanks
+    where the library's own rules may see more in it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Cache(self._encode, 200_000)
+        self.cache = Cache(self._encode, 1_000_000)
+        # What stands between pieces that are encoded as one text: a sign that none of them has.
+        (self.between,) = self.tokenizer.encode("!", add_special_tokens=False).ids
 
-    def _encode(self, runs_: list[bytes]) -> list[list[int]]:
+    def _whole(self, runs_: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs_], add_special_tokens=False)]
 
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        # Words, digits and signs of ASCII are what the library's rules would hand to its model, byte for letter.
+        tokens = self.tokenizer.model.tokenize
+        rest = [p.translate(None, _PLAIN) for p in pieces]
+        out = [[] if r else [t.id for t in tokens(p.decode("ascii"))] for p, r in zip(pieces, rest, strict=True)]
+        odd = [i for i, r in enumerate(rest) if r]
+        for i, found in zip(odd, self._whole([pieces[i] for i in odd]), strict=True):
+            out[i] = found
+        return out
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first id of each text (and the end)."""
         data, offsets = text_bytes(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        inside = ~_BLANK[data]
+        kinds = _KIND[data]
+        inside = kinds != _BLANK
+        fresh = np.zeros(len(data), bool)
+        fresh[offsets[:-1][offsets[:-1] < len(data)]] = True
         opens, closes = inside.copy(), inside.copy()
-        opens[1:] &= ~inside[:-1]
-        closes[:-1] &= ~inside[1:]
-        cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(data))]
-        opens[cuts], closes[cuts - 1] = inside[cuts], inside[cuts - 1]
-        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        # Runs in their order, with those too long to keep left empty.
-        lengths = np.where(ends - starts <= _LONG_RUN, ends - starts, 0)
-        edges = np.append(0, np.cumsum(lengths))
-        shown = np.ascontiguousarray(gathered(data, starts, lengths))
-        slices = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(shown)])
+        opens[1:] &= ~inside[:-1] | fresh[1:]
+        closes[:-1] &= ~inside[1:] | fresh[1:]
+        run_starts, run_ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        odd_before = np.append(0, np.cumsum(kinds == _ODD))
+        odd = odd_before[run_ends] > odd_before[run_starts]
+        whole = np.zeros(len(data) + 1, np.int8)
+        whole[run_starts[odd]] += 1
+        whole[run_ends[odd]] -= 1
+        whole = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+        # A piece begins with a run and, in runs that are cut, at each digit and each change of kind.
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+        starts = np.flatnonzero(opens | (cut & inside & ~whole))
+        ends = np.minimum(np.append(starts[1:], len(data)), run_ends[np.cumsum(opens)[starts] - 1])
+        shown = np.where(whole, data, _LOW[data])
+        lengths = ends - starts
+        long = np.flatnonzero(lengths > _LONG_PIECE)
+        kept = lengths.copy()
+        for i in long:
+            inside[starts[i] : ends[i]], kept[i] = False, 0
+        edges = np.append(0, np.cumsum(kept))
+        slices = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(shown[inside])])
         ids, counts = self.cache(slices)
         counts = counts.astype(np.int64)
-        long = np.flatnonzero(ends - starts > _LONG_RUN)
-        if len(long):
-            found = [np.array(self._encode([data[starts[i] : ends[i]].tobytes()])[0], np.uint32) for i in long]
+        if len(long):  # which the cache has seen as empty
+            found = [np.array(self._whole([shown[starts[i] : ends[i]].tobytes()])[0], np.uint32) for i in long]
             at = np.append(0, np.cumsum(counts))[long]
             ids = np.insert(ids, np.repeat(at, [len(f) for f in found]), np.concatenate(found))
             counts[long] = [len(f) for f in found]
