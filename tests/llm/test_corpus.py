@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumberline.llm import components, dartminhash, decontaminate, langid, sharding, toxicity, warc
@@ -195,10 +197,39 @@ def test_archive_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 3
     whole = {r.page_id: bytes(r.record) for r in warc.record_bytes(warc.read_archive(spark, str(tmp_path / "a"))).collect()}
     assert whole[2].endswith("\r\n\r\nother é\r\n\r\n".encode()) and b"Content-Length: 0\r\n" in whole[3]
+    ids = [h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in (bytes(r.record) for r in warc.record_bytes(warc.read_archive(spark, str(tmp_path / "a"))).collect())]
+    assert len(set(ids)) == len(rows) and all(b"\r\nWARC-Date: 2" in w for w in whole.values())
+    assert ids[0].startswith(b"<urn:uuid:") and b"WARC-Refers-To: " + [w for w in whole.values() if b"Page-ID: 1\r" in w][0].split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] in whole[3]
     warc.write_archive(pages.limit(0), str(tmp_path / "b"))
     assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_archive_of_odd_ids_and_long_payloads(spark, tmp_path):
+    names = ["a>b", "x\r\nWARC-Type: fake", "", "é %41+ ", None, "z"]
+    rows = [(i, "u", "one") for i in names] + [(i, "u", f"own {i}") for i in names] + [("long", "u", "page " * 1_000_000), ("later", "u", "page " * 1_000_000)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"), date="2024-01-01T00:00:00Z")
+    found = warc.read_archive(spark, str(tmp_path / "a")).collect()
+    assert Counter((r.page_id, bytes(r.payload).decode()) for r in found) == Counter((i, t) for i, _, t in rows)
+    assert {r.page_id: r.refers_to for r in found if bytes(r.payload) == b"one"} == {i: None if i == "" else "" for i in names}
+    assert [r.refers_to for r in found if r.page_id == "long"] == ["later"] and all(r.header.count("WARC-Type: ") == 1 for r in found)
+    small = tmp_path / "small"
+    warc.write_archive(pages, str(small), least_revisit=4)
+    assert Counter(r.record_type for r in warc.read_archive(spark, str(small)).collect()) == {"response": 13, "revisit": 1}
+
+
+def test_archive_notices_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id bigint, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    records = spark.read.parquet(str(tmp_path / "a" / "records"))
+    swapped = records.withColumn("header", F.regexp_replace("header", "sha1:.", "sha1:7"))
+    swapped.write.parquet(str(tmp_path / "b" / "records"))
+    for part in ("payloads", "layout"):
+        shutil.copytree(tmp_path / "a" / part, tmp_path / "b" / part)
+    with pytest.raises(Exception, match="differ"):
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+
+
 # ---- models ------------------------------------------------------------------------------------
 
 def held_out(i):
