@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.catalog.base import (
     BLOCK, BRACKET_ROWS, DOCUMENT_LINES, EVENT_LINES, EVENT_ROWS, EVENT_SCHEMA, documents, event_fields, events, query,
-    scratch, sql, then,
+    scratch, sql, stored, then,
 )
 from lumberline.functions import detect
 from lumberline.operators import documents as docs
@@ -190,6 +190,22 @@ def assembled(spark: S, sf_dir: str) -> DataFrame:
     return records.assemble_records(events(spark, sf_dir), max_lines=None, max_chars=None)
 
 
+_CHUNK = 1 << 18
+_DUMP = f"""
+dump AS (SELECT CAST(-1 AS BIGINT) AS seq, '{views.DUMP_START}all items' AS text UNION ALL
+  SELECT l_orderkey * 64 + l_linenumber, l_orderkey || ' | ' || l_linenumber || ' | rows ' || count(*) || ' | qty ' || CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS VARCHAR)
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+whole AS (SELECT string_agg(text, chr(10) ORDER BY seq) AS t FROM dump),
+cut AS (SELECT k AS chunk_no, substr(t, k * {_CHUNK} + 1, {_CHUNK}) AS text FROM whole, range((length(t) + {_CHUNK - 1}) // {_CHUNK}) r(k))"""
+
+
+@query("L9_record_chunks", sql("""SELECT '/dumps/items.log' AS file_path, CAST(0 AS BIGINT) AS logical_id, CAST(1 AS BIGINT) AS first_line, chunk_no,
+  length(text) - length(replace(text, chr(10), '')) + CASE WHEN chunk_no = 0 THEN 1 ELSE 0 END AS n_lines, 1704067200000 AS ts_ms, 3 AS level, text FROM cut""", _DUMP))
+def chunked(spark: S, sf_dir: str) -> DataFrame:
+    log = stored(spark, sf_dir, "dump", lambda s, d: records.assign_records(detect.classify(views.dump_lines(s, d))))
+    return records.record_chunks(log, _CHUNK)
+
+
 @query("L10_headers", sql("""SELECT file_path, level, ts_ms, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines,
   is_plain, CASE WHEN NOT is_plain THEN logical_id END AS entry_no FROM lines
   GROUP BY file_path, logical_id, CASE WHEN is_plain THEN line_no ELSE 0 END, level, ts_ms, is_plain"""))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.catalog.base import DOCUMENT_LINES, EVENT_ROWS, NORMALIZE, documents, events, query, sql
+from lumberline.catalog.base import DOCUMENT_LINES, EVENT_ROWS, NORMALIZE, documents, events, query, sql, stored
 from lumberline.functions import text as T
+from lumberline.functions.detect import classify
 from lumberline.functions.tokens import token_type
 from lumberline.operators import payloads, records, tokens
 from lumberline.sources import views
@@ -99,6 +100,21 @@ def json_blocks(spark: S, sf_dir: str) -> DataFrame:
     return payloads.line_json_blocks(events(spark, sf_dir))
 
 
+_DUMPED = r"""
+od AS (SELECT '/dumps/orders' || (o_custkey % 2) || '.log' AS file_path, o_orderkey, o_orderstatus AS s,
+  CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS price, chr(10) AS nl FROM orders WHERE o_orderstatus <> 'P'),
+js AS (SELECT file_path, o_orderkey, '[' || price || ',' || nl || '    2]' AS prices, s, nl FROM od),
+found AS (SELECT file_path, o_orderkey, CASE WHEN s = 'F' THEN prices ELSE
+  '{' || nl || '  "key": ' || o_orderkey || ',' || nl || '  "status": "' || s || '", "note": "} ] \" {",' || nl || '  "prices": ' || prices || nl || '}' END AS json FROM js)"""
+
+
+@query("J1_json_over_blocks", sql("""SELECT file_path, CAST(1 AS BIGINT) AS first_line,
+  CAST(row_number() OVER (PARTITION BY file_path ORDER BY o_orderkey) - 1 AS INTEGER) AS block_no, json FROM found""", _DUMPED))
+def json_over_blocks(spark: S, sf_dir: str) -> DataFrame:
+    build = lambda s, d: records.assign_records(classify(views.json_dump_lines(s, d, 1021)))
+    return payloads.line_json_blocks(stored(spark, sf_dir, "json-dump", build))
+
+
 @query("J2_json_keys", r"SELECT 'k' AS key, count(*) AS objects, count(DISTINCT regexp_extract(props, '\d+')) AS distinct_values FROM events")
 def json_keys(spark: S, sf_dir: str) -> DataFrame:
     return payloads.json_keys(payloads.line_json_blocks(events(spark, sf_dir)))

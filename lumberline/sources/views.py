@@ -181,3 +181,40 @@ def stamp_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("9"), t, F.lit(". dot")))
     )
     return events.select("event_id", text.alias("text"))
+
+
+DUMP_START = "2024-01-01 00:00:00,000 INFO [dump] "
+
+
+def dump_lines(spark: SparkSession, sf_dir: str, block_seq: int = BLOCK_SEQ) -> DataFrame:
+    """``lineitem`` as one record that never ends: a first line with a time, then a line per order and line number."""
+    opening = spark.range(1).select(
+        F.lit("/dumps/items.log").alias("file_path"), F.lit(-1).cast("bigint").alias("seq"), F.lit(DUMP_START + "all items").alias("text"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("qty"))
+    text = F.concat_ws(" | ", F.col("l_orderkey"), F.col("l_linenumber"), F.concat(F.lit("rows "), F.col("n")), F.concat(F.lit("qty "), F.col("qty")))
+    rows = items.select(F.lit("/dumps/items.log").alias("file_path"), (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("seq"), text.alias("text"))
+    return rows.unionByName(opening).withColumn("block", F.floor(F.col("seq") / block_seq))
+
+
+def json_dump_lines(spark: SparkSession, sf_dir: str, block_seq: int = BLOCK_SEQ) -> DataFrame:
+    """``orders`` as JSON over several lines each, in one record per file.
+
+    Finished orders lack their last bracket, pending ones have a comma too many; blocks end within the payloads.
+    """
+    orders = table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("/dumps/orders"), F.pmod(F.col("o_custkey"), F.lit(2)).cast("string"), F.lit(".log"))
+    status = F.col("o_orderstatus")
+    texts = F.array(
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" {")),
+        F.concat(F.lit('  "key": '), F.col("o_orderkey").cast("string"), F.lit(",")),
+        F.concat(F.lit('  "status": "'), status, F.lit('", "note": "} ] \\" {",')),
+        F.concat(F.lit('  "prices": ['), F.col("o_totalprice").cast("decimal(14,2)").cast("string"), F.lit(",")),
+        F.when(status == "P", "    2, ]").otherwise("    2]"),
+        F.when(status == "F", "never closed").otherwise("} stored"),
+    )
+    body = orders.select(path.alias("file_path"), "o_orderkey", F.posexplode(texts).alias("part", "text")).select(
+        "file_path", (F.col("o_orderkey") * 8 + F.col("part")).alias("seq"), "text")
+    opening = orders.select(path.alias("file_path")).distinct().select(
+        "file_path", F.lit(-1).cast("bigint").alias("seq"), F.lit(DUMP_START + "all orders").alias("text"))
+    return body.unionByName(opening).withColumn("block", F.floor(F.col("seq") / block_seq))
