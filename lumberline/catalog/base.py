@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumberline.operators.extract import extract_fields
 from lumberline.plans.blocks import Block, Schema
 from lumberline.session import checkpoint_dir
 from lumberline.sources import views
+from lumberline.sources.storage import Storage
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +54,37 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Run) -> DataFrame
     return spark.read.parquet(_stored[key])
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Files below a folder from rows ``(file_path, seq, data)``: the bytes of each, in order, under the last part of its path.
+
+    A file is written by one task, row by row, as a logger would; written again with more rows it has grown.
+    """
+    storage = Storage.of(rows.sparkSession)
+    ordered = rows.select("file_path", "seq", F.col("data").cast("binary").alias("data")).repartition("file_path").sortWithinPartitions("file_path", "seq")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, out = None, None
+        for batch in batches:
+            for file_path, data in zip(batch["file_path"], batch["data"], strict=True):
+                if file_path != path:
+                    if out is not None:
+                        out.close()
+                    system, inside = storage.resolve(f"{folder}/{file_path.rsplit('/', 1)[1]}")
+                    system.create_dir(inside.rsplit("/", 1)[0])
+                    path, out = file_path, system.open_output_stream(inside)
+                out.write(data)
+            yield pd.DataFrame({"rows": [len(batch)]})
+        if out is not None:
+            out.close()
+
+    ordered.mapInPandas(write, "rows bigint").agg(F.sum("rows")).first()
+
+
+def original_path(folder: str) -> Column:
+    """The path that a written file had in its log."""
+    return F.concat(F.lit(f"{folder}/"), F.regexp_extract("file_path", "[^/]*$", 0))
+
+
 # Blocks are small here, so that even small tables have several per file.
 BLOCK = 1 << 14
 

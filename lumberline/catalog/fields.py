@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.catalog.base import (
-    BRACKET_ROWS, EVENT_LINES, EVENT_SCHEMA, THREAD_ROWS, event_fields, events, query, sql, then,
+    BRACKET_ROWS, EVENT_LINES, EVENT_SCHEMA, THREAD_ROWS, event_fields, events, query, scratch, sql, then, write_files,
 )
 from lumberline.operators import extract
+from lumberline.plans.blocks import SCHEMA_VERSION, Schema
 from lumberline.plans.importers import PRESETS, schema_from_grok
 from lumberline.sources import views
 
@@ -62,6 +65,14 @@ def infer(spark: S, sf_dir: str) -> DataFrame:
     return extract.schema_coverage(log, schema).withColumn("names", F.lit(",".join(schema.field_names)))
 
 
+@query("X1_marked_fields", sql("SELECT seq, stamp AS ts_text, thread, lv, replace(msg, ' qty ', ' ' || chr(64977) || 'qty' || chr(64976) || ' ') AS message FROM thr", THREAD_ROWS))
+def marked_fields(spark: S, sf_dir: str) -> DataFrame:
+    """Lines that hold the characters matching works with."""
+    lines = views.thread_lines(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" qty "), F.lit(" \ufdd1qty\ufdd0 ")))
+    found = extract.extract_preset(lines, "classic")
+    return _spread(found, ["seq"], ts_text="Timestamp", thread="Thread", lv="Level", message="Message")
+
+
 GROK = r"%{TIMESTAMP_ISO8601:time} \[%{WORD:thread}\] %{LOGLEVEL:level} - %{GREEDYDATA:msg}"
 
 
@@ -98,16 +109,41 @@ def pipe(spark: S, sf_dir: str) -> DataFrame:
     return shown.withColumn("message", F.concat(F.lit(" "), F.col("message")))
 
 
-@query("X10_best_schema", sql("""SELECT file_path, 'bracketed' AS name, count(*) FILTER (WHERE NOT broken) AS "full" FROM brk GROUP BY file_path
+_BEST = sql("""SELECT file_path, 'bracketed' AS name, count(*) FILTER (WHERE NOT broken) AS "full" FROM brk GROUP BY file_path
   UNION ALL SELECT '/logs/workers.log', 'classic', count(*) FILTER (WHERE l_returnflag <> 'R') FROM thr
-  UNION ALL SELECT '/logs/items.log', 'pipe', count(*) FROM lineitem""", then(BRACKET_ROWS, THREAD_ROWS)))
-def best(spark: S, sf_dir: str) -> DataFrame:
-    kinds = (views.bracket_lines, views.thread_lines, views.pipe_lines)
-    first, *rest = [view(spark, sf_dir) for view in kinds]
+  UNION ALL SELECT '/logs/items.log', 'pipe', count(*) FROM lineitem""", then(BRACKET_ROWS, THREAD_ROWS))
+
+
+def _three_formats(spark: S, sf_dir: str) -> DataFrame:
+    first, *rest = [view(spark, sf_dir) for view in (views.bracket_lines, views.thread_lines, views.pipe_lines)]
     for other in rest:
         first = first.unionByName(other)
+    return first
+
+
+@query("X10_best_schema", _BEST)
+def best(spark: S, sf_dir: str) -> DataFrame:
     schemas = {n: PRESETS[n] for n in ("bracketed", "classic", "pipe")}
-    return extract.best_schema(first, schemas).select("file_path", "name", "full")
+    return extract.best_schema(_three_formats(spark, sf_dir), schemas).select("file_path", "name", "full")
+
+
+def _schema_file(schema: Schema) -> str:
+    """A schema as a file of the newest version has it."""
+    entries = [{
+        "kind": b.kind, "name": b.name, "leadingText": b.leading, "closingText": b.closing, "separator": b.separator,
+        "separatorIsRegex": b.separator_regex, "customRegex": b.pattern, "ignored": b.hidden,
+    } for b in schema.blocks]
+    return json.dumps({"version": SCHEMA_VERSION, "linePrefix": schema.line_prefix, "blocks": entries})
+
+
+@query("X10_schema_folder", _BEST)
+def schema_folder(spark: S, sf_dir: str) -> DataFrame:
+    """The schemas come from a folder, in which some files are none: no JSON, of a later version, not applicable."""
+    texts = {n: _schema_file(PRESETS[n]) for n in ("bracketed", "classic", "pipe")}
+    texts |= {"torn": texts["pipe"][:40], "later": texts["pipe"].replace('"version": 3', '"version": 4'), "empty": '{"version": 3, "blocks": []}'}
+    folder = scratch(spark, "schemas")
+    write_files(spark.createDataFrame([(f"/{n}.json", 0, t) for n, t in texts.items()], "file_path string, seq int, data string"), folder)
+    return extract.best_schema(_three_formats(spark, sf_dir), extract.load_schemas(spark, folder)).select("file_path", "name", "full")
 
 
 @query("X11_project_view", sql("""SELECT l.file_path, l.line_no, CASE WHEN st.event_id IS NULL THEN l.text ELSE st.lv || ' ' || st.msg END AS shown

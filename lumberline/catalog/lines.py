@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.catalog.base import (
     BLOCK, BRACKET_ROWS, DOCUMENT_LINES, EVENT_LINES, EVENT_ROWS, EVENT_SCHEMA, documents, event_fields, events, query,
-    scratch, sql, stored, then,
+    original_path, scratch, sql, stored, then, write_files,
 )
 from lumberline.functions import detect
 from lumberline.operators import documents as docs
 from lumberline.operators import extract, records
 from lumberline.plans.importers import PRESETS
+from lumberline.session import staged
 from lumberline.sources import files, manifest, sinks, views
+from lumberline.sources.storage import Storage
 
 S = SparkSession
 
@@ -43,6 +46,28 @@ def wide_encoding(spark: S, sf_dir: str) -> DataFrame:
     return files.read_lines(spark, folder, "UTF-16LE").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ENCODED = {"UTF-8": "utf-8", "UTF-8 with mark": "utf-8-sig", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "UTF-32LE": "utf-32-le", "UTF-32BE": "utf-32-be"}
+
+
+@query("S3_mixed_encodings", sql("SELECT file_path, line_no, text, line_no = max(line_no) OVER (PARTITION BY file_path) AS provisional FROM lines", DOCUMENT_LINES))
+def mixed_encodings(spark: S, sf_dir: str) -> DataFrame:
+    """The texts as files in an encoding each, with byte order marks where the encoding needs one; the last lines are open."""
+    folder, names = scratch(spark, "encoded-files"), list(_ENCODED.values())
+    lines = views.document_lines(spark, sf_dir).select("file_path", "seq", "text")
+    ends = lines.groupBy("file_path").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    number = F.pmod(F.crc32(F.col("file_path").cast("binary")), F.lit(len(names))).cast("int")
+    text = F.concat(F.when((F.col("seq") == F.col("first")) & (number > 0), "\ufeff").otherwise(""), "text", F.when(F.col("seq") < F.col("last"), "\n").otherwise(""))
+
+    @F.pandas_udf("binary")
+    def encoded(texts: pd.Series, which: pd.Series) -> pd.Series:
+        # The mark is in the text, so that every line is encoded alike.
+        return pd.Series([t.encode(names[i].removesuffix("-sig")) for t, i in zip(texts, which, strict=True)])
+
+    write_files(lines.join(ends, "file_path").select("file_path", "seq", encoded(text, number).alias("data")), folder)
+    log = files.read_log(spark, folder, "auto")
+    return log.select(original_path("/texts").alias("file_path"), "line_no", "text", "provisional")
+
+
 @query("S4_discover", sql("SELECT DISTINCT f AS log FROM st", EVENT_ROWS))
 def discover(spark: S, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "found-files")
@@ -109,6 +134,57 @@ def refresh(spark: S, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("lines"), F.max("ts_ms").alias("last_ms"))
 
 
+def _old_files(log: DataFrame) -> DataFrame:
+    """The event logs as they were: one half as long and cut within a line, one yet to come."""
+    ends = log.groupBy("file_path").agg(F.max("line_no").alias("last"))
+    half = F.when(F.col("file_path") == "/logs/app0.log", F.floor(F.col("last") / 2)).otherwise(F.col("last"))
+    kept = log.where("file_path <> '/logs/app3.log'").join(ends.withColumn("last", half), "file_path").where("line_no <= last")
+    cut = (F.col("line_no") == F.col("last")) & (F.col("file_path") == "/logs/app0.log")
+    data = F.when(cut, F.left(F.col("text"), F.lit(9))).otherwise(F.concat("text", F.lit("\n")))
+    return kept.select("file_path", F.col("line_no").alias("seq"), data.alias("data"))
+
+
+def _new_files(log: DataFrame) -> DataFrame:
+    """The event logs as they are: one grew, one was rewritten, one is new."""
+    text = F.when(F.col("file_path") == "/logs/app1.log", F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    return log.where("file_path <> '/logs/app2.log'").select("file_path", F.col("line_no").alias("seq"), F.concat(text, F.lit("\n")).alias("data"))
+
+
+def _changed_files(spark: S, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Real files, read once and then changed: what was read, the old manifest, and what changed."""
+    log = events(spark, sf_dir).select("file_path", "line_no", "text")
+    folder = scratch(spark, "changing-files")
+    write_files(_old_files(log), folder)
+    before = manifest.capture_manifest(files.discover_logs(spark, folder))
+    lines = staged(files.read_log(spark, folder), "known-lines")
+    write_files(_new_files(log), folder)
+    system, inside = Storage.of(spark).resolve(f"{folder}/app2.log")
+    system.delete_file(inside)
+    now = manifest.current_state(files.discover_logs(spark, folder), before)
+    return lines, before, staged(manifest.diff_manifest(before, now), "changes-of-files")
+
+
+_FILE_STATES = """
+parts AS (SELECT file_path, line_no, strlen(text) + 1 AS bytes, max(line_no) OVER (PARTITION BY file_path) AS last FROM lines),
+sizes AS (SELECT file_path, CAST(sum(CASE WHEN file_path <> '/logs/app0.log' OR line_no < last // 2 THEN bytes ELSE 0 END) AS BIGINT) AS consumed,
+  CAST(sum(bytes + CASE WHEN file_path = '/logs/app1.log' THEN 6 ELSE 0 END) AS BIGINT) AS size FROM parts GROUP BY file_path)"""
+
+
+@query("S7_changed_files", sql("""SELECT file_path, CASE WHEN file_path <> '/logs/app3.log' THEN consumed END AS consumed, CASE WHEN file_path <> '/logs/app2.log' THEN size END AS size,
+  CASE file_path WHEN '/logs/app0.log' THEN 'appended' WHEN '/logs/app1.log' THEN 'replaced' WHEN '/logs/app2.log' THEN 'missing' ELSE 'new' END AS change FROM sizes""", then(EVENT_LINES, _FILE_STATES)))
+def changed_files(spark: S, sf_dir: str) -> DataFrame:
+    _, _, changes = _changed_files(spark, sf_dir)
+    return changes.select(original_path("/logs").alias("file_path"), "consumed", "size", "change")
+
+
+@query("S8_refreshed_files", sql("""SELECT file_path, line_no, logical_id, ts_ms, level, CASE WHEN file_path = '/logs/app1.log' THEN text || ' again' ELSE text END AS text
+  FROM lines WHERE file_path <> '/logs/app2.log'"""))
+def refreshed_files(spark: S, sf_dir: str) -> DataFrame:
+    lines, _, changes = _changed_files(spark, sf_dir)
+    found = manifest.refresh(lines, changes, manifest.read_changes(lines, changes))
+    return found.select(original_path("/logs").alias("file_path"), "line_no", "logical_id", "ts_ms", "level", "text")
+
+
 @query("S9_save_view", sql("SELECT text, count(*) AS n FROM lines WHERE level >= 5 GROUP BY text"))
 def save_view(spark: S, sf_dir: str) -> DataFrame:
     target = scratch(spark, "saved-view")

@@ -220,6 +220,13 @@ def _register(name: str, table: str, find) -> None:
 _register("I3_bursts", "burst", insights.bursts)
 _register("I4_error_spikes", "spike", insights.error_spikes)
 _register("I5_spam", "spam", insights.spam)
+
+
+@query("I5_spam_anchors", sql("SELECT from_ms, snippet, level, example, first_file, first_entry FROM spam JOIN tpl ON records = count AND first_ms = from_ms AND last_ms = to_ms AND contains(template, snippet)", then(OBSERVED, _TEMPLATES)))
+def spam_anchors(spark: S, sf_dir: str) -> DataFrame:
+    return insights.spam_anchors(events(spark, sf_dir))
+
+
 _register("I6_gaps", "gap", insights.gaps)
 _register("I7_rising_volume", "vol", insights.rising_volume)
 _register("I8_rising_errors", "rer", insights.rising_errors)

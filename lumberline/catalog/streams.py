@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.catalog.base import BLOCK, EVENT_LINES, events, query, scratch, sql
+from lumberline.catalog.base import BLOCK, EVENT_LINES, events, original_path, query, scratch, sql, write_files
 from lumberline.catalog.views import _KEY, _SPEC, _SPEC_SQL
 from lumberline.functions.rules import Rule
 from lumberline.operators import stats
 from lumberline.sources import views
-from lumberline.streaming import live, tail
+from lumberline.streaming import appended, live, tail
 
 S = SparkSession
 _HALF_HOUR = "30 minutes"
@@ -61,6 +61,43 @@ def unfinished(spark: S, sf_dir: str) -> DataFrame:
     return table.lines().groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("provisional").alias("unfinished"))
 
 
+def _written(lines: DataFrame, upto: int | None) -> DataFrame:
+    """The bytes of the files once all lines to ``upto`` are written, and half of the next; or all lines, the last one without its end."""
+    if upto is None:
+        last = lines.groupBy("file_path").agg(F.max("seq").alias("last"))
+        rows, text = lines.join(last, "file_path"), F.col("text")
+    else:
+        last = lines.where(F.col("seq") > upto).groupBy("file_path").agg(F.min("seq").alias("last"))
+        rows = lines.join(last, "file_path").where(F.col("seq") <= F.col("last"))
+        text = F.when(F.col("seq") < F.col("last"), F.col("text")).otherwise(F.left(F.col("text"), F.floor(F.length("text") / 2).cast("int")))
+    return rows.select("file_path", "seq", F.concat(text, F.when(F.col("seq") < F.col("last"), "\n").otherwise("")).alias("data"))
+
+
+def _grown(spark: S, sf_dir: str, deliveries: int) -> DataFrame:
+    """The table of a stream that follows the event logs while they grow: cut within lines after each third, then whole."""
+    lines = events(spark, sf_dir).select("file_path", "seq", "text")
+    top = lines.agg(F.max("seq")).first()[0]
+    folder, table = scratch(spark, "growing"), scratch(spark, "followed")
+    for upto in [top // 3, 2 * top // 3, None][:deliveries]:
+        write_files(_written(lines, upto), folder)
+        appended.follow(spark, folder, table, availableNow=True).awaitTermination()
+    found = tail.LogTable(spark, table).lines()
+    return found.select(original_path("/logs").alias("file_path"), "line_no", "text", "logical_id", "ts_ms", "provisional")
+
+
+@query("S10_appended_bytes", sql("""SELECT file_path, line_no, text, logical_id, ts_ms, line_no = max(line_no) OVER (PARTITION BY file_path) AS provisional FROM lines"""))
+def appended_bytes(spark: S, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, 3)
+
+
+@query("T2_open_lines", sql("""SELECT file_path, line_no, text, open AS provisional FROM (
+  SELECT file_path, line_no, CASE WHEN seq = nxt THEN substr(text, 1, length(text) // 2) ELSE text END AS text, coalesce(seq = nxt, false) AS open
+  FROM (SELECT *, min(CASE WHEN seq > top // 3 THEN seq END) OVER (PARTITION BY file_path) AS nxt FROM (SELECT *, max(seq) OVER () AS top FROM lines))
+  WHERE seq <= nxt)"""))
+def open_lines(spark: S, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, 1).select("file_path", "line_no", "text", "provisional")
+
+
 @query("T3_replaced_files", sql("SELECT file_path, count(*) AS lines, count(ts_ms) AS dated FROM lines GROUP BY file_path"))
 def replaced(spark: S, sf_dir: str) -> DataFrame:
     table = tail.LogTable(spark, scratch(spark, "tail"))

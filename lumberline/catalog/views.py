@@ -111,6 +111,20 @@ def spans(spark: S, sf_dir: str) -> DataFrame:
     return marks.match_spans(events(spark, sf_dir), [Rule("er", case_sensitive=True), Rule("EVENT")])
 
 
+_MARKED = "marked AS (SELECT file_path, line_no, replace(text, '=', chr(64976) || '=' || chr(64977)) AS text FROM lines)"
+
+
+@query("M2_marked_spans", sql("""SELECT file_path, line_no, p AS pattern, CAST(list_sum(list_transform(a[1:k], lambda x: length(x))) + (k - 1) * w AS INTEGER) AS start,
+  CAST(w AS INTEGER) AS length FROM (
+    SELECT file_path, line_no, p, w, a, unnest(range(1, len(a))) AS k FROM (
+      SELECT file_path, line_no, 0 AS p, 2 AS w, string_split(text, 'er') AS a FROM marked
+      UNION ALL SELECT file_path, line_no, 1, 2, string_split(text, '=' || chr(64977)) FROM marked))""", then(EVENT_LINES, _MARKED)))
+def marked_spans(spark: S, sf_dir: str) -> DataFrame:
+    """Lines that hold the characters matching works with, and a pattern that names one of them."""
+    lines = events(spark, sf_dir).withColumn("text", F.replace("text", F.lit("="), F.lit("\ufdd0=\ufdd1")))
+    return marks.match_spans(lines, [Rule("er", case_sensitive=True), Rule("=\ufdd1", case_sensitive=True)])
+
+
 @query("M3_match_counts", sql("""SELECT 0 AS pattern, 'er' AS text, count(*) FILTER (WHERE contains(text, 'er')) AS lines,
     CAST(sum((length(text) - length(replace(text, 'er', ''))) / 2) AS BIGINT) AS matches FROM lines
   UNION ALL SELECT 1, 'EVENT', count(*) FILTER (WHERE contains(lower(text), 'event')),

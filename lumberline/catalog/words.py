@@ -72,6 +72,24 @@ def token_counts(spark: S, sf_dir: str) -> DataFrame:
     return tokens.token_counts(events(spark, sf_dir))
 
 
+# A line with a token of each type per order.
+_TYPED = """tk AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS p FROM orders)"""
+
+
+@query("K1_all_types", sql("""SELECT type, token, count(*) AS n FROM (SELECT 'level' AS type, 'DEBUG' AS token FROM tk
+  UNION ALL SELECT 'url', 'http://h' || (k % 7) || '.example/p?x=' || k FROM tk UNION ALL SELECT 'path', '/var/log/a' || (k % 5) || '/f.txt' FROM tk
+  UNION ALL SELECT 'string', chr(39) || 'q' || k || chr(39) FROM tk UNION ALL SELECT 'timestamp', '2031-01-05 04:05:06' FROM tk
+  UNION ALL SELECT 'guid', '123e4567-e89b-12d3-a456-' || p FROM tk UNION ALL SELECT 'hex', '0x1F' || (k % 9) FROM tk
+  UNION ALL SELECT 'ip', '10.0.' || (k % 256) || '.1' FROM tk UNION ALL SELECT 'raw_hex', '7AB' || (k % 10) || 'EF' FROM tk
+  UNION ALL SELECT 'number', CAST(k AS VARCHAR) FROM tk) GROUP BY type, token""", _TYPED))
+def all_types(spark: S, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.format_string(
+        "DEBUG http://h%d.example/p?x=%d /var/log/a%d/f.txt 'q%d' 2031-01-05 04:05:06 123e4567-e89b-12d3-a456-%012d 0x1F%d 10.0.%d.1 7AB%dEF %d",
+        k % 7, k, k % 5, k, k, k % 9, k % 256, k % 10, k)
+    return tokens.token_counts(views.table(spark, sf_dir, "orders").select(text.alias("text")))
+
+
 _URL = r"'[A-Za-z][A-Za-z0-9+.\-]*://[^\s<>{}|^]*[^\s<>{}|^,;.)''\"\]]'"
 
 

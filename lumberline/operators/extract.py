@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.functions.detect import classify, ms_to_ntz, with_timestamp
+from lumberline.functions.markers import Markers
 from lumberline.operators.records import assign_records
 from lumberline.plans.blocks import FREE_TEXT, UNTRIMMED, Block, Schema, SchemaError, checked, schema_from_json
 from lumberline.plans.importers import PRESETS, schema_from_grok, schema_from_log4j, suggest_schema
@@ -20,8 +21,6 @@ from lumberline.plans.regexes import Variant, variants
 #: Candidates of one pass over a table; more of them take more passes, so that the plan does not grow with their number.
 RANKED_TOGETHER = 20
 
-# Noncharacters, reserved by Unicode for use inside a program: they cannot stand in a valid line.
-ROW, CELL = "\ufdd0", "\ufdd1"
 REPORT = ["status", "matched_blocks", "skipped_from", "skipped_to", "unparsed", "hole"]
 
 
@@ -48,10 +47,10 @@ def _cells(schema: Schema, variant: Variant) -> list[str]:
     return report + [value.get(i, "") for i in schema.field_blocks]
 
 
-def _attempt(text: Column, schema: Schema, variant: Variant) -> Column:
+def _attempt(text: Column, schema: Schema, variant: Variant, marks: Markers) -> Column:
     """The cells of a line that the variant matches, else null.  The expression runs once per line."""
-    replacement = ROW + CELL.join(_cells(schema, variant)) + ROW
-    cells = F.get(F.split(F.regexp_replace(text, variant.pattern, replacement), ROW, -1), F.lit(1))
+    replacement = marks.first + marks.second.join(_cells(schema, variant)) + marks.first
+    cells = F.get(F.split(F.regexp_replace(text, variant.pattern, replacement), marks.first, -1), F.lit(1))
     # Cheap tests first: a line without a literal of the variant cannot match it.
     possible = [F.contains(text, F.lit(part)) for part in variant.literals]
     if variant.probe:
@@ -74,8 +73,14 @@ def _present(cell: Column) -> Column:
 
 
 def _with_cells(lines: DataFrame, schema: Schema, text: str) -> DataFrame:
-    attempts = [_attempt(F.col(text), schema, v) for v in variants(checked(schema))]
-    return lines.withColumn("_cells", F.coalesce(*attempts)).withColumn("_cells", F.split("_cells", CELL, -1))
+    """The cells of the strongest variant; markers that a line itself holds are out of the way while it is matched."""
+    forms = variants(checked(schema))
+    marks = Markers(*(v.pattern for v in forms))
+    attempts = [_attempt(F.col("_clear"), schema, v, marks) for v in forms]
+    matched = lines.withColumn("_clear", marks.cleared(F.col(text))).withColumn("_cells", F.split(F.coalesce(*attempts), marks.second, -1))
+    own = F.transform("_cells", lambda cell: marks.restored(cell, F.col(text)))
+    changed = ~F.col("_clear").eqNullSafe(F.col(text))
+    return matched.withColumn("_cells", F.when(changed, own).otherwise(F.col("_cells"))).drop("_clear")
 
 
 def _report(schema: Schema) -> Column:

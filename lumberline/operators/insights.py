@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.text import template_display
 from lumberline.operators.stats import (
-    BINS, bin_start, bins720, counted_records, template_counts, top_k,
+    BINS, bin_start, bins720, counted_records, template_counts, templates, top_k,
 )
 from lumberline.session import pinned
 
@@ -109,8 +109,8 @@ def document_facts(lines: DataFrame, filtered: bool = False) -> Column:
     return counted_records(lines, filtered).agg(facts.alias("facts")).scalar()
 
 
-def spam(lines: DataFrame, filtered: bool = False, facts: Column | None = None) -> DataFrame:
-    """The two most frequent templates that dominate the document or come in a dense stream."""
+def _spam_templates(lines: DataFrame, filtered: bool, facts: Column | None) -> DataFrame:
+    """Counts and times of the two most frequent templates that are spam, with their share."""
     facts = document_facts(lines, filtered) if facts is None else facts
     records, dated, span_ms = facts["records"], facts["dated"], facts["span_ms"]
     rate = F.when(span_ms > 0, dated * 1000.0 / span_ms).otherwise(0.0)
@@ -119,13 +119,27 @@ def spam(lines: DataFrame, filtered: bool = False, facts: Column | None = None)
     share = F.col("records") / records
     frequent = F.col("records") >= F.greatest(F.lit(SPAM_RECORDS).cast("bigint"), F.floor(records / SPAM_PART))
     dense = (density >= SPAM_PER_SEC) & ((rate <= 0) | (density >= SPAM_TIMES * rate))
-    found = top_k(template_counts(lines, filtered).where(frequent & ((share >= SPAM_SHARE) | dense)), 2)
+    return top_k(template_counts(lines, filtered).where(frequent & ((share >= SPAM_SHARE) | dense)), 2).withColumn("share", share)
+
+
+def spam(lines: DataFrame, filtered: bool = False, facts: Column | None = None) -> DataFrame:
+    """The two most frequent templates that dominate the document or come in a dense stream."""
+    found, share = _spam_templates(lines, filtered, facts), F.col("share")
     return _insight(
         found, "Spam", from_ms=F.col("first_ms"), to_ms=F.col("last_ms"), count=F.col("records"), share=share,
         snippet=template_display(F.col("template")), magnitude=F.col("records"),
     )
 
 
+def spam_anchors(lines: DataFrame, filtered: bool = False) -> DataFrame:
+    """Where each spam begins: ``from_ms, snippet, level, example, first_file, first_entry`` of its first message."""
+    found = pinned(_spam_templates(lines, filtered, None))  # at most two rows, read twice
+    first = templates(lines, filtered, found.select("template", F.col("first_ms").alias("at")))
+    details = first.select("template", "level", "example", "first_file", "first_entry")
+    return found.join(F.broadcast(details), "template").select(
+        F.col("first_ms").alias("from_ms"), template_display(F.col("template")).alias("snippet"), "level", "example", "first_file", "first_entry")
+
+
 def silences(lines: DataFrame, filtered: bool = False, bucket_ms: int = 3_600_000) -> DataFrame:
     """All gaps between moments with records: ``(from_ms, to_ms, gap_ms)``.
 

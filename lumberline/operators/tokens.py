@@ -16,15 +16,19 @@ def tokens(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    return lines.select(F.explode(line_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_counts(lines: DataFrame) -> DataFrame:
-    """How often each token occurs."""
-    return tokens(lines, keys=[]).groupBy("type", "token").agg(F.count(F.lit(1)).alias("n"))
+    """How often each token occurs.  Its type follows from its text, so that it is told once per distinct token."""
+    return _counted(lines).select(token_kind(F.col("token")).alias("type"), "token", "n")
 
 
 def top_tokens(lines: DataFrame, kind: str, k: int) -> DataFrame:
     """The ``k`` most frequent tokens of a type.  ``host`` counts the hosts of addresses."""
-    found = tokens(lines, keys=[]).where(F.col("type") == ("url" if kind == "host" else kind))
+    found = _counted(lines).where(token_kind(F.col("token")) == ("url" if kind == "host" else kind))
     if kind == "host":
         host = F.regexp_extract("token", r"^[^:/]+://(?:[^/?#@]*@)?([^/:?#]+)", 1)
-        found = found.withColumn("token", host).where(F.col("token") != "")
-    return found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(k)
+        found = found.groupBy(host.alias("token")).agg(F.sum("n").alias("n")).where(F.col("token") != "")
+    return found.orderBy(F.desc("n"), "token").limit(k)

@@ -6,7 +6,6 @@ last complete line) and ``fingerprint`` (hash of the bytes just before ``consume
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +15,14 @@ from pyspark.sql import functions as F
 from lumberline.functions.detect import classify
 from lumberline.operators.records import assign_records, last_context
 from lumberline.session import pinned, staged
+from lumberline.sources.files import read_log
+from lumberline.sources.storage import Storage, range_lines
 
 BOUNDARY_BYTES = 4096      # fixed value: bytes before the old end that must not have changed
 RANGE_BYTES = 64 << 20     # bytes of a new tail that one task reads
 STEP_BYTES = 64 << 10
 
 
-def _open(path: str):
-    """A file anywhere the cluster can read, for reading some of its bytes only."""
-    from pyarrow import fs
-
-    system, inside = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system.open_input_file(inside)
-
-
-def _uri(path: str) -> str:
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def _line_end(handle, size: int) -> int:
     """Offset behind the last newline before ``size``."""
     at = size
@@ -46,23 +35,26 @@ def _line_end(handle, size: int) -> int:
     return 0
 
 
-def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each file the bytes before ``at``, or before its last line end if ``at`` is null."""
-    for batch in batches:
-        rows = []
-        for path, size, at in zip(batch["file_path"], batch["size"], batch["at"]):
-            # A file that cannot be read fails the task: taken for a new one it would be loaded twice.
-            with _open(_uri(path)) as handle:
-                end = _line_end(handle, int(size)) if pd.isna(at) else int(at)
-                start = max(0, end - BOUNDARY_BYTES)
-                boundary = handle.read_at(end - start, start) if end <= size else None
-            rows.append((path, size, end, boundary))
-        yield pd.DataFrame(rows, columns=["file_path", "size", "consumed", "boundary"], dtype=object)
-
-
 def _with_fingerprints(files: DataFrame) -> DataFrame:
-    """One row per file, written down: the files may change before it is read again."""
-    read = files.mapInPandas(_boundaries, "file_path string, size bigint, consumed bigint, boundary binary")
+    """One row per file, written down: the files may change before it is read again.
+
+    Of each file the bytes before ``at`` are hashed, or those before its last line end if ``at`` is null.
+    """
+    storage = Storage.of(files.sparkSession)
+
+    def boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, size, at in zip(batch["file_path"], batch["size"], batch["at"]):
+                # A file that cannot be read fails the task: taken for a new one it would be loaded twice.
+                with storage.open(path) as handle:
+                    end = _line_end(handle, int(size)) if pd.isna(at) else int(at)
+                    start = max(0, end - BOUNDARY_BYTES)
+                    boundary = handle.read_at(end - start, start) if end <= size else None
+                rows.append((path, size, end, boundary))
+            yield pd.DataFrame(rows, columns=["file_path", "size", "consumed", "boundary"], dtype=object)
+
+    read = files.mapInPandas(boundaries, "file_path string, size bigint, consumed bigint, boundary binary")
     return pinned(read.select("file_path", "size", "consumed", F.xxhash64("boundary").alias("fingerprint")))
 
 
@@ -105,38 +97,8 @@ def diff_manifest(previous: DataFrame, current: DataFrame) -> DataFrame:
     return old.join(new, "file_path", "full_outer").select("file_path", "consumed", "size", change_kind().alias("change"))
 
 
-LINE_COLUMNS = ["file_path", "block", "seq", "text", "provisional"]
-
-
-def _range_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The lines that start in byte ranges of files.  A line belongs to the range it starts in."""
-    for batch in batches:
-        for path, first, start, stop in zip(batch["file_path"], batch["first"], batch["start"], batch["stop"]):
-            first, start, stop, rows = int(first), int(start), int(stop), []
-            with _open(_uri(path)) as raw, io.BufferedReader(raw, 1 << 20) as handle:
-                handle.seek(start)
-                at = start
-                if start > first:  # the line that runs into this range is read with the range before
-                    handle.seek(start - 1)
-                    at = start - 1 + len(handle.readline())
-                while at < stop:
-                    line = handle.readline()
-                    if not line:
-                        break
-                    ended = line.endswith(b"\n")
-                    body = line[:-1] if ended else line
-                    body = body[:-1] if body.endswith(b"\r") else body
-                    body = body[3:] if at == 0 and body.startswith(b"\xef\xbb\xbf") else body
-                    rows.append((path, start, at, body.decode("utf-8", "replace"), not ended))
-                    at += len(line)
-                    if len(rows) == 8192:
-                        yield pd.DataFrame(rows, columns=LINE_COLUMNS, dtype=object)
-                        rows = []
-            yield pd.DataFrame(rows, columns=LINE_COLUMNS, dtype=object)
-
-
 def read_ranges(changes: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The lines of files ``(file_path, first, size)`` from byte ``first`` on; other bytes are not read.
+    """The lines of files ``(file_path, first, size)`` from byte ``first`` to ``size``; other bytes are not read.
 
     A long tail is cut into ranges, each a block read by its own task.
     """
@@ -146,21 +108,38 @@ def read_ranges(changes: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
         .select("file_path", "first", "size", F.explode(starts).alias("start"))
         .withColumn("stop", F.least(F.col("start") + range_bytes, F.col("size")))
     )
-    return ranges.repartition("file_path", "start").mapInPandas(
-        _range_lines, "file_path string, block bigint, seq bigint, text string, provisional boolean"
-    )
+    storage = Storage.of(changes.sparkSession)
+    names = ["file_path", "block", "seq", "text", "provisional"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, first, size, start, stop in zip(*(batch[c] for c in ("file_path", "first", "size", "start", "stop"))):
+                rows: list[tuple] = []
+                with storage.open(path) as handle:
+                    for at, line, ended in range_lines(handle, int(first), int(start), int(stop), int(size)):
+                        rows.append((path, int(start), at, line.removeprefix(b"\xef\xbb\xbf") if at == 0 else line, not ended))
+                        if len(rows) == 8192:
+                            yield pd.DataFrame(rows, columns=names, dtype=object)
+                            rows = []
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    lines = ranges.repartition("file_path", "start").mapInPandas(read, "file_path string, block bigint, seq bigint, text binary, provisional boolean")
+    return lines.withColumn("text", F.col("text").cast("string"))  # the same bytes, as in Spark's reader
 
 
 def read_changes(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """Classified lines of new, replaced and appended files; appended ones continue their records."""
-    reload = F.col("change").isin("new", "replaced")
-    wanted = changes.where(reload | (F.col("change") == "appended")).select(
-        "file_path", "size", F.when(reload, F.lit(0)).otherwise(F.col("consumed")).cast("bigint").alias("first")
-    )
-    appended = changes.where(F.col("change") == "appended").select("file_path")
-    known = lines.where(~F.coalesce(F.col("provisional"), F.lit(False))).join(appended, "file_path", "left_semi")
-    fresh = staged(classify(read_ranges(wanted)), "changes")  # read from files that may go on growing
-    return assign_records(fresh, start=last_context(known))
+    """Classified lines of new, replaced and appended files; appended ones continue their records.
+
+    New and replaced files are read by Spark, like any other; of appended files the new bytes alone are
+    read.  The names of the former are listed on the driver, as those of all files are when a folder is read.
+    """
+    spark = lines.sparkSession
+    tails = changes.where(F.col("change") == "appended").select("file_path", "size", F.col("consumed").alias("first"))
+    known = lines.where(~F.coalesce(F.col("provisional"), F.lit(False))).join(tails.select("file_path"), "file_path", "left_semi")
+    fresh = staged(classify(read_ranges(tails)), "changes")  # read from files that may go on growing
+    grown = assign_records(fresh, start=last_context(known))
+    whole = [row.file_path for row in changes.where(F.col("change").isin("new", "replaced")).select("file_path").toLocalIterator()]
+    return grown.unionByName(read_log(spark, whole), allowMissingColumns=True) if whole else grown
 
 
 def refresh(lines: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:

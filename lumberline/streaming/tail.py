@@ -78,7 +78,10 @@ class LogTable:
         """The lines of the current generation of every file, with unfinished last lines flagged."""
         state = self.state().select("file_path", "generation", *[F.col(c) for c in ("start_line", "start_id", "tail")])
         current = state.select("file_path", "generation")
-        stored = self._read("lines").join(current, ["file_path", "generation"], "left_semi")
+        stored = self._read("lines")
+        if stored is None:
+            return self._unfinished()
+        stored = stored.join(current, ["file_path", "generation"], "left_semi")
         return stored.withColumn("provisional", F.lit(False)).unionByName(
             self._unfinished(), allowMissingColumns=True
         )
@@ -137,7 +140,10 @@ def append_batch(table: LogTable, batch: DataFrame, batch_id: int) -> None:
     rows = staged.join(files.select("file_path", "generation", "first_seq", "last_seq", "whole", "old_tail"),
                        ["file_path", "generation"])
     opened = (F.col("seq") == F.col("first_seq")) & F.col("old_tail").isNotNull()
-    rows = rows.withColumn("text", F.when(opened, F.concat("old_tail", "text")).otherwise(F.col("text")))
+    # The two bytes of a line end may have come one by one.
+    joined = F.concat("old_tail", "text")
+    joined = F.when(F.col("terminated") & joined.endswith("\r"), F.substring(joined, F.lit(1), F.length(joined) - 1)).otherwise(joined)
+    rows = rows.withColumn("text", F.when(opened, joined).otherwise(F.col("text")))
     held = ~F.col("whole") & (F.col("seq") == F.col("last_seq"))
     finished = rows.where(~held).select("file_path", "generation", "block", "seq", "text")
     lines = assign_records(classify(finished), start=files)

@@ -221,3 +221,13 @@ def test_grok_query_over_all_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.views, "thread_lines", lambda s, d: s.createDataFrame(list(enumerate(lines)), "seq int, text string"))
     found = {r["seq"]: (r["thread"], r["lv"], r["message"], r["status"]) for r in REGISTRY["X7_grok_all"].run(spark, str(tmp_path)).collect()}
     assert found == {0: ("w", "INFO", "part 1", "full"), 1: (None, None, "w ERROR - part 2", "partial")}
+
+
+def test_lines_that_hold_markers(spark):
+    """Fields come back as they stood, whatever noncharacters a line holds."""
+    texts = [f"2026-07-10 09:00:00 [t{c}] ERROR - a{c}b {d}er" for c in ("", "\ufdd0", "\ufdd1\ufdd0", "\ufdd2\ufdd3\ufdd0") for d in ("", "\ufdd1", "\ufdd5")]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = extract.extract_preset(frame, "classic").orderBy("id").collect()
+    for text, row in zip(texts, rows, strict=True):
+        head, message = text.split("] ERROR - ")
+        assert (row["fields"]["Thread"], row["fields"]["Level"], row["fields"]["Message"]) == (head.split("[")[1], "ERROR", message), text

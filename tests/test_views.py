@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,3 +285,16 @@ def test_markers_and_spans(spark):
     counts = {r["pattern"]: (r["lines"], r["matches"]) for r in marks.match_counts(frame, patterns[:2]).collect()}
     assert counts == {0: (2, 3), 1: (1, 2)}
     assert marks.match_spans(frame, [Rule("([", regex=True)]).count() == 0
+
+
+def test_spans_of_hostile_lines(spark):
+    """Lines that hold the markers of the matcher, and very many matches in a line."""
+    texts = ["ERROR - a\ufdd1b er \ufdd0er", "er" * 20_000, "", "x", "\ufdd0" * 5 + "er\ufdd1" + "\ufdd2\ufdd3er"]
+    frame = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file_path string, line_no int, text string")
+    patterns = [Rule("er", case_sensitive=True), Rule("\ufdd1", case_sensitive=True), Rule("r.", regex=True, case_sensitive=True)]
+    found = {(r["line_no"], r["pattern"], r["start"], r["length"]) for r in marks.match_spans(frame, patterns).collect()}
+    expected = set()
+    for i, text in enumerate(texts):
+        for p, rx in enumerate(("er", "\ufdd1", "r.")):
+            expected |= {(i, p, m.start(), m.end() - m.start()) for m in re.finditer(rx, text)}
+    assert found == expected
