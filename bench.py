@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lumberline.catalog.base import EVENT_SCHEMA
 from lumberline.functions.detect import classify
 from lumberline.functions.rules import Rule
-from lumberline.operators import directory, extract, filters, insights, order, records, stats, tokens
+from lumberline.operators import directory, extract, filters, insights, order, payloads, records, stats, tokens
 from lumberline.operators.filters import FilterSpec
 from lumberline.plans.importers import PRESETS
 from lumberline.session import checkpoint_dir, local_session
@@ -80,6 +80,8 @@ def main() -> None:
         "row_numbers": lambda: order.with_row_no(log.select(*order.POSITION)),
         "order": lambda: order.ordered(log),
         "records": lambda: records.assemble_records(log),
+        "record_chunks": lambda: records.record_chunks(log),
+        "json_blocks": lambda: payloads.line_json_blocks(events),
         "levels": lambda: stats.level_counts(log),
         "templates_top10": lambda: stats.top_messages(log),
         "timeline": lambda: stats.timeline(log),
