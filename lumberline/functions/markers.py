@@ -25,18 +25,21 @@ class Markers:
         if len(free) < 4:
             raise ValueError("the expressions name the noncharacters that matching needs")
         self.first, self.second, *rest = free
-        self._held = f"[{self.first}{self.second}]"
         self._pairs = [a + b for a, b in list(pairwise(rest))[::2]]
 
+    def _holds(self, text: Column) -> Column:
+        return F.contains(text, F.lit(self.first)) | F.contains(text, F.lit(self.second))
+
     def _pair(self, text: Column) -> Column:
-        """The pair that stands in for the markers in a line that holds one."""
-        return F.coalesce(*[F.when(~text.rlike(f"[{pair}]"), F.lit(pair)) for pair in self._pairs])
+        """The pair that stands in for the markers in a line that holds one.  A small expression: plans repeat it."""
+        free = lambda p: ~(F.contains(text, F.left(p, F.lit(1))) | F.contains(text, F.right(p, F.lit(1))))
+        return F.get(F.filter(F.array(*map(F.lit, self._pairs)), free), F.lit(0))
 
     def cleared(self, text: Column) -> Column:
         other = F.call_function("translate", text, F.lit(self.first + self.second), self._pair(text))
-        return F.when(text.rlike(self._held), other).otherwise(text)
+        return F.when(self._holds(text), other).otherwise(text)
 
     def restored(self, part: Column, text: Column) -> Column:
         """A part of the cleared line as it stood in ``text``."""
         own = F.call_function("translate", part, self._pair(text), F.lit(self.first + self.second))
-        return F.when(text.rlike(self._held), own).otherwise(part)
+        return F.when(self._holds(text), own).otherwise(part)

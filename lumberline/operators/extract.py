@@ -77,10 +77,11 @@ def _with_cells(lines: DataFrame, schema: Schema, text: str) -> DataFrame:
     forms = variants(checked(schema))
     marks = Markers(*(v.pattern for v in forms))
     attempts = [_attempt(F.col("_clear"), schema, v, marks) for v in forms]
-    matched = lines.withColumn("_clear", marks.cleared(F.col(text))).withColumn("_cells", F.split(F.coalesce(*attempts), marks.second, -1))
-    own = F.transform("_cells", lambda cell: marks.restored(cell, F.col(text)))
-    changed = ~F.col("_clear").eqNullSafe(F.col(text))
-    return matched.withColumn("_cells", F.when(changed, own).otherwise(F.col("_cells"))).drop("_clear")
+    matched = lines.withColumn("_clear", marks.cleared(F.col(text)))
+    cells = F.split(F.coalesce(*attempts), marks.second, -1)
+    restored = F.transform(cells, lambda cell: marks.restored(cell, F.col(text)))
+    # One row again, from a step that filters on fields are not moved below: they would match each line several times.
+    return matched.withColumn("_cells", F.explode(F.array(restored))).drop("_clear")
 
 
 def _report(schema: Schema) -> Column:
