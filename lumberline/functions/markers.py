@@ -27,19 +27,18 @@ class Markers:
         self.first, self.second, *rest = free
         self._pairs = [a + b for a, b in list(pairwise(rest))[::2]]
 
-    def _holds(self, text: Column) -> Column:
-        return F.contains(text, F.lit(self.first)) | F.contains(text, F.lit(self.second))
-
-    def _pair(self, text: Column) -> Column:
-        """The pair that stands in for the markers in a line that holds one.  A small expression: plans repeat it."""
-        free = lambda p: ~(F.contains(text, F.left(p, F.lit(1))) | F.contains(text, F.right(p, F.lit(1))))
-        return F.get(F.filter(F.array(*map(F.lit, self._pairs)), free), F.lit(0))
-
-    def cleared(self, text: Column) -> Column:
-        other = F.call_function("translate", text, F.lit(self.first + self.second), self._pair(text))
-        return F.when(self._holds(text), other).otherwise(text)
-
-    def restored(self, part: Column, text: Column) -> Column:
-        """A part of the cleared line as it stood in ``text``."""
-        own = F.call_function("translate", part, self._pair(text), F.lit(self.first + self.second))
-        return F.when(self._holds(text), own).otherwise(part)
+    def pair(self, text: Column) -> Column:
+        """What stands in for the markers in a line that holds one: the first pair that is free, an empty text if none
+        is; null for a line without markers.  To be kept as a column: it is asked once per line."""
+        has = lambda c: F.contains(text, F.lit(c))
+        free = [F.when(~(has(p[0]) | has(p[1])), F.lit(p)) for p in self._pairs]
+        return F.when(has(self.first) | has(self.second), F.coalesce(*free, F.lit("")))
+
+    def cleared(self, text: Column, pair: Column) -> Column:
+        other = F.call_function("translate", text, F.lit(self.first + self.second), pair)
+        return F.when(pair.isNull(), text).when(pair != "", other)
+
+    def restored(self, part: Column, pair: Column) -> Column:
+        """A part of the cleared line as it stood in the line."""
+        own = F.call_function("translate", part, pair, F.lit(self.first + self.second))
+        return F.when(pair.isNull(), part).otherwise(own)

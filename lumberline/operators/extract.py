@@ -21,19 +21,18 @@ from lumberline.plans.regexes import Variant, variants
 #: Candidates of one pass over a table; more of them take more passes, so that the plan does not grow with their number.
 RANKED_TOGETHER = 20
 
-REPORT = ["status", "matched_blocks", "skipped_from", "skipped_to", "unparsed", "hole"]
+#: Cells before those of the fields: the number of the variant, what it left over, what it skipped.
+REPORT = 3
 
 
-def _cells(schema: Schema, variant: Variant) -> list[str]:
-    """Replacement text of one variant: the report, then one cell per field block."""
+def _cells(schema: Schema, variant: Variant, number: int) -> list[str]:
+    """Replacement text of one variant: its report, then one cell per field block."""
     blocks = schema.blocks
     tail_at = max((i for i in schema.field_blocks if blocks[i].kind in FREE_TEXT), default=-1)
     value = {i: f"${{lv{i}}}" for i in variant.matched}
     unparsed = hole = ""
-    skipped = ("", "")
     if variant.resume is not None:
         hole = "${lvskip}"
-        skipped = (str(variant.prefix), str(variant.resume))
         weak = [i for i in range(variant.prefix, variant.resume) if i in schema.field_blocks]
         target = next((i for i in weak if blocks[i].kind in FREE_TEXT), None)
         if target is not None:
@@ -42,14 +41,12 @@ def _cells(schema: Schema, variant: Variant) -> list[str]:
         unparsed = "${lvtail}"
         if tail_at >= variant.prefix:
             value[tail_at] = unparsed
-    status = "full" if len(variant.matched) == len(blocks) else "degraded"
-    report = [status, str(len(variant.matched)), *skipped, unparsed, hole]
-    return report + [value.get(i, "") for i in schema.field_blocks]
+    return [str(number), unparsed, hole] + [value.get(i, "") for i in schema.field_blocks]
 
 
-def _attempt(text: Column, schema: Schema, variant: Variant, marks: Markers) -> Column:
+def _attempt(text: Column, schema: Schema, variant: Variant, number: int, marks: Markers) -> Column:
     """The cells of a line that the variant matches, else null.  The expression runs once per line."""
-    replacement = marks.first + marks.second.join(_cells(schema, variant)) + marks.first
+    replacement = marks.first + marks.second.join(_cells(schema, variant, number)) + marks.first
     cells = F.get(F.split(F.regexp_replace(text, variant.pattern, replacement), marks.first, -1), F.lit(1))
     # Cheap tests first: a line without a literal of the variant cannot match it.
     possible = [F.contains(text, F.lit(part)) for part in variant.literals]
@@ -65,7 +62,9 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 
 
 def _trimmed(cell: Column) -> Column:
-    return F.btrim(cell, F.lit(BLANKS))
+    """Most texts begin and end with a visible character of ASCII; only the others are looked at blank by blank."""
+    visible = lambda end: F.ascii(end).between(33, 126)
+    return F.when(visible(cell) & visible(F.substring(cell, -1, 1)), cell).otherwise(F.btrim(cell, F.lit(BLANKS)))
 
 
 def _present(cell: Column) -> Column:
@@ -73,45 +72,51 @@ def _present(cell: Column) -> Column:
 
 
 def _with_cells(lines: DataFrame, schema: Schema, text: str) -> DataFrame:
-    """The cells of the strongest variant; markers that a line itself holds are out of the way while it is matched."""
+    """The cells of the strongest variant in ``_cells``: its number, what it left over and what it skipped, both
+    trimmed, then the fields.  Markers that a line itself holds are out of the way while it is matched.
+
+    Each step is a column of its own, so that it runs once per line.
+    """
     forms = variants(checked(schema))
     marks = Markers(*(v.pattern for v in forms))
-    attempts = [_attempt(F.col("_clear"), schema, v, marks) for v in forms]
-    matched = lines.withColumn("_clear", marks.cleared(F.col(text)))
-    cells = F.split(F.coalesce(*attempts), marks.second, -1)
-    restored = F.transform(cells, lambda cell: marks.restored(cell, F.col(text)))
-    # One row again, from a step that filters on fields are not moved below: they would match each line several times.
-    return matched.withColumn("_cells", F.explode(F.array(restored))).drop("_clear")
+    attempts = [_attempt(F.col("_clear"), schema, v, i, marks) for i, v in enumerate(forms)]
+    matched = lines.withColumn("_pair", marks.pair(F.col(text))).withColumn("_clear", marks.cleared(F.col(text), F.col("_pair")))
+    # One row again, from a step that filters on fields are not moved below: they would match each line several times.  A
+    # function of arrays is not compiled into one method with the steps around it, which together are too long for Java to compile.
+    split = F.transform(F.array(F.coalesce(*attempts)), lambda joined: F.split(joined, marks.second, -1))
+    matched = matched.withColumn("_split", F.explode(split))
+    blanks = [False] + [True] * (REPORT - 1) + [schema.blocks[i].kind not in UNTRIMMED for i in schema.field_blocks]
+    cells = {f"_cell{at}": F.get(F.col("_split"), F.lit(at)) for at in range(len(blanks))}
+    matched = matched.withColumns({name: marks.restored(cell, F.col("_pair")) for name, cell in cells.items()})
+    return matched.withColumns({name: _trimmed(F.col(name)) for name, trim in zip(cells, blanks, strict=True) if trim}).drop("_pair", "_clear", "_split")
+
+
+def _cell_names(schema: Schema) -> list[str]:
+    return [f"_cell{at}" for at in range(REPORT + len(schema.field_blocks))]
+
+
+def _status() -> Column:
+    left_over = (F.col("_cell1") != "") | (F.col("_cell2") != "")
+    return F.when(F.col("_cell0").isNull(), "none").when(left_over, "partial").otherwise("full")
 
 
 def _report(schema: Schema) -> Column:
-    cell = {name: F.get(F.col("_cells"), F.lit(i)) for i, name in enumerate(REPORT)}
-    left_over = (_trimmed(cell["unparsed"]) != "") | (_trimmed(cell["hole"]) != "")
-    status = (
-        F.when(F.col("_cells").isNull(), "none")
-        .when(left_over, "partial")
-        .otherwise(F.lit("full"))
-    )
+    forms = variants(schema)
+    number = F.col("_cell0").cast("int")
+    of_form = lambda values: F.get(F.array(*[F.lit(v).cast("int") for v in values]), number)
     return F.struct(
-        status.alias("status"),
-        F.coalesce(cell["matched_blocks"].try_cast("int"), F.lit(0)).alias("matched_blocks"),
-        _present(_trimmed(cell["unparsed"])).alias("unparsed"),
-        cell["skipped_from"].try_cast("int").alias("skipped_from"),
-        cell["skipped_to"].try_cast("int").alias("skipped_to"),
-        _present(_trimmed(cell["hole"])).alias("hole"),
+        _status().alias("status"),
+        F.coalesce(of_form([len(v.matched) for v in forms]), F.lit(0)).alias("matched_blocks"),
+        _present(F.col("_cell1")).alias("unparsed"),
+        of_form([None if v.resume is None else v.prefix for v in forms]).alias("skipped_from"),
+        of_form([v.resume for v in forms]).alias("skipped_to"),
+        _present(F.col("_cell2")).alias("hole"),
     )
 
 
 def _fields(schema: Schema) -> Column:
-    values = []
-    for at, block_at in enumerate(schema.field_blocks):
-        block = schema.blocks[block_at]
-        cell = F.get(F.col("_cells"), F.lit(len(REPORT) + at))
-        cell = cell if block.kind in UNTRIMMED else _trimmed(cell)
-        values.append(_present(cell).alias(block.name))
-    if not values:
-        return F.lit(None).cast("struct<_none:string>")
-    return F.struct(*values)
+    values = [_present(F.col(f"_cell{REPORT + at}")).alias(name) for at, name in enumerate(schema.field_names)]
+    return F.struct(*values) if values else F.lit(None).cast("struct<_none:string>")
 
 
 def extract_fields(lines: DataFrame, schema: Schema, text: str = "text", out: str = "fields") -> DataFrame:
@@ -119,7 +124,7 @@ def extract_fields(lines: DataFrame, schema: Schema, text: str = "text", out: st
     found = _with_cells(lines, schema, text).withColumn(out, _fields(schema))
     names = schema.field_names
     some = F.coalesce(*[F.col(out)[n] for n in names]).isNotNull() if names else F.lit(False)
-    return found.withColumn(out, F.when(some, F.col(out))).drop("_cells")
+    return found.withColumn(out, F.when(some, F.col(out))).drop(*_cell_names(schema))
 
 
 def structured_log(lines: DataFrame, schema: Schema) -> DataFrame:
@@ -139,7 +144,7 @@ def match_report(lines: DataFrame, schema: Schema, text: str = "text", out: str
     ``full`` means nothing of the line was left over, ``partial`` that something was, ``none``
     that the schema did not match.
     """
-    return _with_cells(lines, schema, text).withColumn(out, _report(schema)).drop("_cells")
+    return _with_cells(lines, schema, text).withColumn(out, _report(schema)).drop(*_cell_names(schema))
 
 
 def schema_coverage(lines: DataFrame, schema: Schema, by: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def _sizes(text: Column, pattern: Rule) -> Column:
     One replacement brackets every match, so that each stands where the pattern found it.
     """
     marks = Markers(pattern.text)
-    marked = F.regexp_replace(marks.cleared(text), pattern_regex(pattern), f"{marks.first}$0{marks.second}")
+    marked = F.regexp_replace(marks.cleared(text, marks.pair(text)), pattern_regex(pattern), f"{marks.first}$0{marks.second}")
     return F.transform(F.split(marked, f"[{marks.first}{marks.second}]", -1), F.length)
 
 

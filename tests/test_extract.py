@@ -231,3 +231,15 @@ def test_lines_that_hold_markers(spark):
     for text, row in zip(texts, rows, strict=True):
         head, message = text.split("] ERROR - ")
         assert (row["fields"]["Thread"], row["fields"]["Level"], row["fields"]["Message"]) == (head.split("[")[1], "ERROR", message), text
+
+
+def test_a_line_is_matched_and_trimmed_once(spark):
+    rows = spark.createDataFrame([(" 2025-06-11 12:00:01 [\u2003quay\u00a0] ERROR -  rope\ufdd0torn ",)], "text string")
+    found = extract.match_report(extract.extract_fields(rows, CLASSIC), CLASSIC)
+    assert found.first()["fields"].asDict() == {
+        "Timestamp": "2025-06-11 12:00:01", "Thread": "quay", "Level": "ERROR", "Message": "rope\ufdd0torn "}
+    # What a step repeats runs for every cell of every line.
+    plan = extract.extract_fields(rows, CLASSIC)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") == 1
+    assert plan.count("regexp_replace(") == len(extract.variants(CLASSIC))
+    assert plan.count("trim(") <= len(CLASSIC.blocks) + 2
