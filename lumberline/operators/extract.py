@@ -15,7 +15,7 @@ from lumberline.functions.detect import classify, ms_to_ntz, with_timestamp
 from lumberline.functions.markers import Markers
 from lumberline.operators.records import assign_records
 from lumberline.plans.blocks import FREE_TEXT, UNTRIMMED, Block, Schema, SchemaError, checked, schema_from_json
-from lumberline.plans.importers import PRESETS, schema_from_grok, schema_from_log4j, suggest_schema
+from lumberline.plans.importers import PRESETS, line_shape, schema_from_grok, schema_from_log4j, suggest_schema
 from lumberline.plans.regexes import Variant, variants
 
 #: Candidates of one pass over a table; more of them take more passes, so that the plan does not grow with their number.
@@ -171,12 +171,15 @@ def extract_preset(lines: DataFrame, name: str) -> DataFrame:
 def suggested_schemas(lines: DataFrame) -> DataFrame:
     """Every schema that a line of a table suggests, as ``schema`` (its blocks in JSON), with the number of its lines ``n``.
 
-    The lines of a batch are counted by their schema before anything is shuffled.
+    The lines of a batch are counted by their schema before anything is shuffled; lines that differ in digits only suggest
+    the same one, so that one of them is looked at.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = Counter(suggest_schema(text) for text in batch["text"])
+            found: Counter[Schema] = Counter()
+            for shape, n in Counter(map(line_shape, batch["text"])).items():
+                found[suggest_schema(shape)] += n
             rows = [(json.dumps([astuple(b) for b in schema.blocks]), n) for schema, n in found.items()]
             yield pd.DataFrame(rows, columns=["schema", "n"])
 

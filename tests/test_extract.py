@@ -243,3 +243,16 @@ def test_a_line_is_matched_and_trimmed_once(spark):
     assert plan.count("lambdafunction(") == 1
     assert plan.count("regexp_replace(") == len(extract.variants(CLASSIC))
     assert plan.count("trim(") <= len(CLASSIC.blocks) + 2
+
+
+def test_lines_that_differ_in_digits_suggest_once(spark, monkeypatch):
+    lines = [
+        "2025-06-11 12:00:01 INFO [net 7] 10.0.0.1:80 0x1F0 af30b9 count: 17",
+        "12:00:01,5 <WARN> 0XAB 123456 9 {12} x0 0 00 0x 5.5 -3 : 8",
+        "06/11/2025 9:00:00 a1b2c3d4 1.2.3.4 (0x00) 1e5 \u0663 no 0xZ",
+    ]
+    for line in lines:
+        assert suggest_schema(extract.line_shape(line)) == suggest_schema(line)
+    assert extract.line_shape("user 31 value=9.07") == extract.line_shape("user 20 value=1.55")
+    rows = spark.createDataFrame([(f"2025-06-11 12:00:{i % 60:02} INFO user {i % 90 + 10}",) for i in range(500)], "text string")
+    assert [r["n"] for r in extract.suggested_schemas(rows).collect()] == [500]
