@@ -60,18 +60,19 @@ def event_lines(spark: SparkSession, sf_dir: str, block_seq: int = BLOCK_SEQ) ->
     """
     events = with_busy_hours(table(spark, sf_dir, "events"))
     kind, value = F.col("event_type"), F.col("value")
-    head = F.concat(
+    rendered = events.withColumn("_head", F.concat(
         ms_text(F.col("log_ms")), F.lit(" "), event_level(kind, value),
         F.lit(" ["), kind, F.lit("] user "), F.col("user_id").cast("string"),
         F.lit(" value="), value.cast("decimal(12,2)").cast("string"),
         F.lit(" props="), F.col("props"),
-    )
+    ))
     stack = F.array(
         F.concat(F.lit("app.EventException: event "), F.col("event_id").cast("string"), F.lit(" failed")),
         F.concat(F.lit("    at app.Events.handle(Events.java:"), F.col("user_id").cast("string"), F.lit(")")),
     )
+    head = F.col("_head")
     texts = F.when(kind == "error", F.concat(F.array(head), stack)).otherwise(F.array(head))
-    body = events.select(
+    body = rendered.select(
         event_file(F.col("user_id")).alias("file_path"), "event_id", F.posexplode(texts).alias("part", "text")
     ).select("file_path", (F.col("event_id") * 4 + F.col("part")).alias("seq"), "text")
     opening = (

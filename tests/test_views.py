@@ -298,3 +298,17 @@ def test_spans_of_hostile_lines(spark):
         for p, rx in enumerate(("er", "\ufdd1", "r.")):
             expected |= {(i, p, m.start(), m.end() - m.start()) for m in re.finditer(rx, text)}
     assert found == expected
+
+
+def test_an_event_is_rendered_once(spark, tmp_path):
+    """A step that repeats the rendering is too long for Java to compile."""
+    from lumberline.sources import views
+
+    rows = [(1, "2024-01-01 08:00:00", 5, "error", 250.0, "{}"), (2, "2024-01-01 08:00:01", 6, "view", 1.0, "{}")]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    lines = views.event_lines(spark, str(tmp_path))
+    texts = [r["text"] for r in lines.orderBy("file_path", "seq").collect()]
+    assert [t[24:] for t in texts if t.startswith("2024")] == ["FATAL [error] user 5 value=250.00 props={}", "INFO [view] user 6 value=1.00 props={}"]
+    assert len(texts) == 6 and "    at app.Events.handle(Events.java:5)" in texts
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("make_dt_interval(") == 1
