@@ -116,8 +116,7 @@ def with_timestamp(rows: DataFrame, text: str = "text", out: str = "own_ms") ->
 
 def ms_to_ntz(ms: Column) -> Column:
     """Milliseconds since 1970 as ``TIMESTAMP_NTZ``, independent of the session time zone."""
-    seconds = (ms / F.lit(1000)).cast("decimal(18,3)")
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL '0.001' SECOND") * ms
 
 
 def ntz_to_ms(ts: Column) -> Column:

@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,7 +88,7 @@ class Lines:
         self.texts.append(text)
         line, text = number << _COLUMN_BITS, text if end is None else text[:end]
         seen: set[int] = set()
-        at = begin
+        at, ends = begin, None
         if self.stack or self.base:
             how, to = self._run(line, text, begin, self.stack, True, seen)
             if how == _DEAD:
@@ -99,9 +100,15 @@ class Lines:
             if at in seen:
                 at += 1
                 continue
-            try:
-                value, to = _DECODE(text, at)
-            except (ValueError, RecursionError):
+            if ends is None:
+                ends = {"[": text.rfind("]"), "{": text.rfind("}")}
+            value = None
+            if at < ends[text[at]]:  # a refusal counts the lines before it, which adds up
+                try:
+                    value, to = _DECODE(text, at)
+                except (ValueError, RecursionError):
+                    pass
+            if value is None:
                 stack: list[list[int]] = []
                 how, to = self._run(line, text, at, stack, False, seen)
                 if how == _OPEN and not self.stack and not self.base:
@@ -237,10 +244,10 @@ def _read_block(file_path: str, block: int, rows: Iterator[tuple]) -> Iterator[t
     """The payloads of a block, and one row for what it closes, cuts and leaves open."""
     first = last = None
     closes, cut, cuts = [], False, 0
-    for (logical_id, begin), lines in groupby(rows, key=lambda r: (r[1], r[2])):
+    for (logical_id, begin), lines in groupby(rows, key=itemgetter(3, 4)):
         scanner = Lines(inherited=first is None)
         # Lines between that were not sent: they end what is open.
-        for line_no, _, _, cuts_now, text in lines:
+        for _, _, line_no, _, _, cuts_now, text in lines:
             if first is None:
                 first = (logical_id, line_no)
             if cuts_now != cuts or text is None:
@@ -283,10 +290,10 @@ def _read_blocks(lines: DataFrame) -> DataFrame:
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        rows = (row for batch in batches for row in zip(*(batch[c].tolist() for c in batch.columns), strict=True))
         out: list[tuple] = []
-        for (file_path, block), own in groupby(rows, key=lambda r: r[:2]):
-            out += _read_block(file_path, block, (r[2:] for r in own))
+        for (file_path, block), own in groupby(rows, key=itemgetter(0, 1)):
+            out += _read_block(file_path, block, own)
             if len(out) > 1000:
                 yield pd.DataFrame(out, columns=_READ_COLUMNS, dtype=object)
                 out = []

@@ -189,3 +189,13 @@ def test_json_of_a_view_that_lost_lines(lines_of):
     texts = ["2026-07-10 09:00:00 INFO a", "{", '"a": [1,', "lost", "2]", "}", "end"]
     view = assign_records(classify(lines_of(2, f=texts))).where("text <> 'lost' and line_no > 1")
     assert [tuple(r) for r in payloads.line_json_blocks(view).collect()] == [("f", 2, 0, '{\n"a": [1,\n2]\n}')]
+
+
+def test_brackets_that_nothing_closes_are_not_decoded(monkeypatch):
+    """Each refusal of the decoder takes time linear in the text before it."""
+    tried = []
+    decode = payloads._DECODE
+    monkeypatch.setattr(payloads, "_DECODE", lambda text, at: tried.append(at) or decode(text, at))
+    assert payloads.find_json('{"a": "[1,2] ' * 500) == ["[1,2]"] * 500
+    assert len(tried) == 500
+    assert payloads.find_json('x {"a": 1, [3, 4] } {"b": [1]} {') == ["[3, 4]", '{"b": [1]}']
