@@ -54,7 +54,8 @@ def mixed_encodings(spark: S, sf_dir: str) -> DataFrame:
     """The texts as files in an encoding each, with byte order marks where the encoding needs one; the last lines are open."""
     folder, names = scratch(spark, "encoded-files"), list(_ENCODED.values())
     lines = views.document_lines(spark, sf_dir).select("file_path", "seq", "text")
-    ends = lines.groupBy("file_path").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    # One row per file; as a table its size is known, so that the lines are not moved for it.
+    ends = staged(lines.groupBy("file_path").agg(F.min("seq").alias("first"), F.max("seq").alias("last")), "file-ends")
     number = F.pmod(F.crc32(F.col("file_path").cast("binary")), F.lit(len(names))).cast("int")
     text = F.concat(F.when((F.col("seq") == F.col("first")) & (number > 0), "\ufeff").otherwise(""), "text", F.when(F.col("seq") < F.col("last"), "\n").otherwise(""))
 
@@ -63,7 +64,8 @@ def mixed_encodings(spark: S, sf_dir: str) -> DataFrame:
         # The mark is in the text, so that every line is encoded alike.
         return pd.Series([t.encode(names[i].removesuffix("-sig")) for t, i in zip(texts, which, strict=True)])
 
-    write_files(lines.join(ends, "file_path").select("file_path", "seq", encoded(text, number).alias("data")), folder)
+    placed = lines.join(ends, "file_path").select("file_path", "seq", text.alias("text"))
+    write_files(placed, folder, encoded(F.col("text"), number))
     log = files.read_log(spark, folder, "auto")
     return log.select(original_path("/texts").alias("file_path"), "line_no", "text", "provisional")
 

@@ -253,3 +253,15 @@ def test_time_filters_prune_days(spark, tmp_path, lines_of):
             assert "log_date" in kept._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
         plain = filter_time(stored.withColumnRenamed("log_date", "d"), **bounds)
         assert sorted(r["line_no"] for r in kept.collect()) == sorted(r["line_no"] for r in plain.collect())
+
+
+def test_written_rows_are_encoded_behind_their_order(spark, tmp_path, monkeypatch):
+    """What is moved and sorted are the texts, not the bytes made of them."""
+    from pyspark.sql import functions as F
+
+    from lumberline.catalog import base
+
+    rows = spark.createDataFrame([("/a.txt", i, f"row {i}\n") for i in reversed(range(50))] + [("/b.txt", 0, "one")], "file_path string, seq int, word string")
+    base.write_files(rows, str(tmp_path / "out"), F.encode(F.col("word"), "UTF-16LE"))
+    assert (tmp_path / "out" / "a.txt").read_bytes().decode("utf-16-le") == "".join(f"row {i}\n" for i in range(50))
+    assert (tmp_path / "out" / "b.txt").read_bytes().decode("utf-16-le") == "one"
